@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -141,6 +142,78 @@ def attach(left: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return by_hot.unionByName(rest)
 
 
+class KeySet:
+    """A set of 64-bit keys as a bit table, for tests that may say yes in error
+    but never no. Built in slices by the executors; ``bits`` is a broadcast of
+    at most ``LIMIT`` bytes, or None where so many keys don't fit: callers then
+    join. ``keys`` needs a long column k whose bits are well mixed."""
+
+    LIMIT, EACH, SLICE = 64 << 20, 8, 20
+
+    def __init__(self, keys: DataFrame, n: int):
+        spark = keys.sparkSession
+        self.log = max(self.SLICE, int(np.ceil(np.log2(max(1, n) * self.EACH))))
+        self.bits = None
+        if 1 << (self.log - 3) > self.LIMIT:
+            return
+        low, log = self.log - self.SLICE, self.log
+
+        def fill(batches):
+            made: dict[int, np.ndarray] = {}
+            for b in batches:
+                at = np.asarray(b.column(0)).view(np.uint64) >> np.uint64(64 - log)
+                for part in np.unique(at >> np.uint64(KeySet.SLICE)).tolist():
+                    own = (at[at >> np.uint64(KeySet.SLICE) == part] & np.uint64((1 << KeySet.SLICE) - 1)).astype(np.int64)
+                    table = made.setdefault(part, np.zeros(1 << (KeySet.SLICE - 3), np.uint8))
+                    np.bitwise_or.at(table, own >> 3, (1 << (own & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([t.tobytes() for t in made.values()], pa.binary())], names=["part", "bits"])
+
+        part = F.shiftrightunsigned("k", 64 - low) if low else F.lit(0)
+        table = np.zeros(1 << (self.log - 3), np.uint8)
+        width = 1 << (self.SLICE - 3)
+        if n:
+            dealt = keys.select("k").repartition(max(1, min(1 << low, int(spark.conf.get("spark.sql.shuffle.partitions")))), part) if low else keys.select("k")
+            for r in dealt.mapInArrow(fill, "part long, bits binary").toLocalIterator():
+                table[r["part"] * width : (r["part"] + 1) * width] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+        self.bits = spark.sparkContext.broadcast(table)
+
+    @staticmethod
+    def has(table: np.ndarray, log: int, keys: np.ndarray) -> np.ndarray:
+        at = (keys.view(np.uint64) >> np.uint64(64 - log)).astype(np.int64)
+        return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    def maybe(self, key):
+        """A condition on a long column: False only if the key isn't there."""
+
+        bits, log = self.bits, self.log
+
+        @F.pandas_udf("boolean")
+        def hit(k: pd.Series) -> pd.Series:
+            return pd.Series(KeySet.has(bits.value, log, k.to_numpy(dtype=np.int64)))
+
+        return hit(key)
+
+
+def without(docs: DataFrame, keys: DataFrame, n: int, key: str) -> DataFrame:
+    """docs whose ``key`` (a well mixed long) isn't in keys.k (n rows). Only
+    rows that the key set can't clear are shuffled."""
+    gone = keys.select(F.col("k").alias(key)).distinct()
+    known = KeySet(keys, n)
+    if known.bits is None:
+        return docs.join(gone, key, "left_anti")
+    tried = docs.withColumn("__maybe", known.maybe(F.col(key)))
+    clear = tried.where("not __maybe").drop("__maybe")
+    return clear.unionByName(tried.where("__maybe").drop("__maybe").join(gone.hint("shuffle_merge"), key, "left_anti"))
+
+
+def matching(docs: DataFrame, keys: DataFrame, n: int, key: str) -> DataFrame:
+    """docs that share ``key`` with a row of keys, joined to it; only rows that
+    may match are shuffled."""
+    known = KeySet(keys.select(F.col(key).alias("k")), n)
+    tried = docs if known.bits is None else docs.where(known.maybe(F.col(key)))
+    return tried.join(keys.hint("shuffle_merge"), key)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph given as pairs of longs, by
     alternating large-star and small-star steps. Returns (node, root) for every

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import exact_dedup, packing, simhash
+from . import exact_dedup, packing, simhash, substring_dedup
 
-MODULES = (exact_dedup, simhash, packing)
+MODULES = (exact_dedup, simhash, packing, substring_dedup)
 QUERIES = {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -193,7 +193,8 @@ def keep_one(docs: DataFrame, words: int = 4, k: int = 4) -> DataFrame:
     """One document of each component, that with the smallest doc_id; the
     columns of docs. Repeated rows of that doc_id are reduced to one."""
     gone = C.stash(simhash_groups(docs, words, k).select("doc_id", F.col("component_id")), "near")
-    rows = docs.join(gone.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    drop = gone.where("doc_id <> component_id").select(F.xxhash64("doc_id").alias("k"))
+    rows = C.without(docs.withColumn("__key", F.xxhash64("doc_id")), drop, drop.count(), "__key")
     if not gone.groupBy("doc_id").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["doc_id"])
     return rows.select(*docs.columns)
