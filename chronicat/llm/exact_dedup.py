@@ -12,7 +12,10 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,8 @@ from . import common as C
 SPACE = r"[\x20\x09-\x0D]+"
 #: Distinct digests that one bucket of the index holds, about.
 BUCKET_KEYS = 200_000
+#: Filters of repeated digests are broadcast up to this size; beyond, a join.
+FILTER_BYTES = 64 << 20
 
 
 class CuckooFilter:
@@ -35,6 +40,13 @@ class CuckooFilter:
         self.table = np.zeros((self.n, self.SLOTS), dtype=np.uint16)
         self.used = 0
 
+    @classmethod
+    def loaded(cls, table: bytes) -> CuckooFilter:
+        out = cls(1)
+        out.table = np.frombuffer(table, np.uint16).reshape(-1, cls.SLOTS)
+        out.n = len(out.table)
+        return out
+
     def _place(self, key: int) -> tuple[int, int, int]:
         tag = (key >> 48) & 0xFFFF or 1
         first = key & (self.n - 1)
@@ -164,6 +176,42 @@ def build_index(keyed: DataFrame, total: int) -> DataFrame:
     return local.repartition(parts, "digest").mapInArrow(_index, "digest binary, doc_id long, n long")
 
 
+def _filters(batches, buckets: int):
+    made: dict[int, DigestIndex] = {}
+    for b in batches:
+        for digest in b.column(0).to_pylist():
+            made.setdefault(bucket_of(digest, buckets), DigestIndex()).add(bytes(digest), 0)
+    yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([i.filter.table.tobytes() for i in made.values()], pa.binary())], names=["bucket", "filter"])
+
+
+def bucket_of(digest: bytes, buckets: int) -> int:
+    return int.from_bytes(digest[:4], "big") % buckets
+
+
+def broadcast_filters(groups: DataFrame, n: int):
+    """The cuckoo filters of all buckets, broadcast; None where they might
+    exceed FILTER_BYTES (a key takes 2 to 9 bytes)."""
+    if n * 9 > FILTER_BYTES:
+        return None
+    buckets = n // BUCKET_KEYS + 1
+    dealt = groups.select("digest").repartition(buckets, F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(buckets)))
+    rows = dealt.mapInArrow(partial(_filters, buckets=buckets), "bucket int, filter binary").collect()  # one row per bucket and bound as above
+    return groups.sparkSession.sparkContext.broadcast((buckets, {r["bucket"]: bytes(r["filter"]) for r in rows}))
+
+
+def maybe_live(filters, digest):
+    """Condition on a digest column: False only for digests not in the index."""
+
+    @F.pandas_udf("boolean")
+    def hit(column: pd.Series) -> pd.Series:
+        buckets, tables = filters.value
+        ready = {k: CuckooFilter.loaded(v) for k, v in tables.items()}
+        none = CuckooFilter(1)
+        return pd.Series([DigestIndex.short(d) in ready.get(bucket_of(d, buckets), none) for d in map(bytes, column)], dtype=bool)
+
+    return hit(digest)
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """Every row of docs: doc_id, keep_id, group_size, kept, text_sha256. Of
     equal texts the smallest doc_id stays (of equal rows, one)."""
@@ -171,7 +219,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     total = keyed.count()
     groups = C.stash(build_index(keyed, total).where("n > 1"), "index")  # a digest seen once needs no check
     # Hits are compared as whole texts: grouping by content is that comparison.
-    hits = docs.select(normalised().alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256))).join(groups.select("digest"), "digest", "left_semi")
+    hits = docs.select(normalised().alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
+    n = groups.count()
+    filters = broadcast_filters(groups, n)
+    if filters is None:
+        hits = hits.join(groups.select("digest").hint("shuffle_merge"), "digest", "left_semi")
+    else:
+        hits = hits.where(maybe_live(filters, F.col("digest")))
+    # Of equal contents one goes on from each task.
     unlike = hits.groupBy("digest", "content").agg(F.lit(1).alias("one")).groupBy("digest").count().where("count > 1")
     if not unlike.isEmpty():
         raise ValueError("two different texts have the same SHA-256")
@@ -189,9 +244,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows that copy one with a smaller doc_id; its columns.
     Rows with the same doc_id and text are one document: one of them stays."""
     gone = C.stash(exact_dedup(docs).where("not kept or group_size > 1").select("doc_id", "text_sha256", "kept"), "copies")
-    rows = docs.withColumn("__sha", F.sha2(normalised(), 256))
-    drop = gone.where("not kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct()
-    rows = rows.join(drop, ["doc_id", "__sha"], "left_anti")
+    key = F.xxhash64("doc_id", "__sha")
+    rows = docs.withColumn("__sha", F.sha2(normalised(), 256)).withColumn("__key", key)
+    drop = gone.where("not kept").select(F.xxhash64("doc_id", "text_sha256").alias("k"))
+    rows = C.without(rows, drop, drop.count(), "__key")
     if not gone.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["doc_id", "__sha"])
     return rows.select(*docs.columns)
