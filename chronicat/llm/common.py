@@ -9,6 +9,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,16 @@ HOT_KEYS = 1000
 _MADE: list[tuple] = []
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it
+    (on a cluster it is installed, or given by --py-files)."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, (root, env.get("PYTHONPATH"))))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
