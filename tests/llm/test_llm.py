@@ -1,0 +1,408 @@
+"""Each operator on small tables against brute force, with nulls, empty and
+long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chronicat.llm import common as C
+from chronicat.llm import decontamination, exact_dedup, language_id, line_dedup, linear, packing, pii, quality, simhash, substring_dedup, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+R = random.Random(5)
+VOCABULARY = ["".join(R.choice("abcdefg") for _ in range(R.randrange(2, 8))) for _ in range(300)]
+
+
+def words(n, r=R):
+    return " ".join(r.choice(VOCABULARY) for _ in range(n))
+
+
+BASE = words(60)
+TEXTS = [
+    (0, None), (1, ""), (2, "   \t\n"), (3, "one"), (4, "one two three"), (5, BASE), (6, BASE.replace(" ", "  ")), (7, BASE + " more"),
+    (8, BASE.upper()), (9, words(4000) + " " + BASE), (10, words(30) + "\n" + BASE), (11, BASE), (11, BASE), (12, "é ü 中文 " + words(25)),
+    (13, " ".join(["same"] * 60)), (14, words(25) + " " + words(25)), (15, "x\x1cy z"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    C.reachable(spark)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in TEXTS], DOCS).repartition(3)
+
+
+def odd(docs):
+    """The same with columns whose names clash with inner ones."""
+    extra = ["row", "key", "fp", "n", "digest", "rank", "size", "start", "words", "score", "votes", "order", "rep", "h", "k"]
+    return docs.withColumns({c: F.lit(1) for c in extra})
+
+
+def rows(df, *cols):
+    return sorted(map(tuple, df.select(*cols).collect()), key=repr)
+
+
+def test_cuckoo_filter_grows_and_deletes():
+    index = exact_dedup.DigestIndex(16)
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
+    assert not any(index.add(d, i) for i, d in enumerate(digests)) and index.resized > 0
+    assert all(index.add(d, -1) for d in digests[:100]) and index.keys[digests[0]] == (-1, 2)
+    for d in digests[:100]:
+        assert index.remove(d, 2) and not index.remove(d)
+    assert all(index.short(d) in index.filter for d in digests[100:])
+    assert index.filter.used == 2900
+    assert sum(index.short(hashlib.sha256(f"x{i}".encode()).digest()) in index.filter for i in range(3000)) < 30
+
+
+def test_exact_dedup(docs):
+    groups = {}
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    for i, t in TEXTS:
+        groups.setdefault(norm(t), []).append(i)
+    want = sorted((i, min(groups[norm(t)]), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in TEXTS)
+    for d in (docs, odd(docs)):
+        assert rows(exact_dedup.exact_dedup(d), "doc_id", "keep_id", "group_size", "text_sha256") == sorted(want, key=repr)
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in groups.values())
+
+
+def test_key_set(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    known = C.KeySet(keys, 5000)
+    probe = spark.range(10000).select("id", F.xxhash64("id").alias("k"))
+    hit = {r.id for r in probe.where(known.maybe(F.col("k"))).collect()}
+    assert set(range(5000)) <= hit and len(hit) < 7500
+    assert sorted(r.id for r in C.without(probe, keys, 5000, "k").collect()) == list(range(5000, 10000))
+
+
+def test_components(spark):
+    r, edges = random.Random(1), []
+    for _ in range(150):
+        edges.append((r.randrange(200), r.randrange(200)))
+    edges += [(1000 + i, 1001 + i) for i in range(60)]
+    root = list(range(1100))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for e in edges for x in e if find(x) != x}
+    got = {r.node: r.root for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+
+
+def near(texts, k):
+    fp = [simhash.fingerprint(t) for _, t in texts]
+    label = [i for i, _ in texts]
+    while True:
+        new = [min(label[j] for j in range(len(fp)) if bin(fp[i] ^ fp[j]).count("1") <= k) for i in range(len(fp))]
+        if new == label:
+            return sorted(((i, format(f, "016x"), c) for (i, _), f, c in zip(texts, fp, label, strict=True)), key=repr)
+        label = new
+
+
+def test_simhash(spark, docs, monkeypatch):
+    fp = lambda d: rows(simhash.simhash_groups(d).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("f"), "component_id"), "doc_id", "f", "component_id")
+    assert fp(docs) == near(TEXTS, 4) and fp(odd(docs)) == near(TEXTS, 4)
+    base = words(300, random.Random(2)).split()
+    r = random.Random(9)
+    many = []
+    for i in range(250):
+        w = list(base)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = "z" + str(r.randrange(9))
+        many.append((i, " ".join(w)))
+    d = spark.createDataFrame(many, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "CHUNK", 20)  # crowded cells go by pairs of chunks
+    assert fp(d) == near(many, 4)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in near(TEXTS, 4)})
+
+
+def test_fingerprint_is_xxh64_majority():
+    import xxhash
+
+    t = "A b c d e"
+    h = [xxhash.xxh64_intdigest(x, 42) for x in ("a b c d", "b c d e")]
+    assert simhash.fingerprint(t) == h[0] & h[1] and simhash.fingerprint(" \n") == 0 == simhash.fingerprint(None)
+    assert simhash.fingerprint("A b") == xxhash.xxh64_intdigest("a b", 42)
+
+
+def removed(texts):
+    seen, out = {}, []
+    for i, t in sorted(set(texts), key=lambda x: x[0]):
+        w = (t or "").encode().split()
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            key = tuple(w[s : s + 20])
+            if key in seen:
+                gone[s : s + 20] = [True] * 20
+            else:
+                seen[key] = i
+        kept = [x for x, g in zip(w, gone, strict=True) if not g]
+        out += [(i, len(w), sum(gone), hashlib.sha256(b" ".join(kept)).hexdigest())] * texts.count((i, t))
+    return sorted(out, key=repr)
+
+
+def test_substring_dedup(spark, docs, monkeypatch):
+    run = lambda d: rows(substring_dedup.substring_dedup(d), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert run(docs) == removed(TEXTS) and run(odd(docs)) == removed(TEXTS)
+    r = random.Random(4)
+    passages = [words(r.randrange(15, 60), r) for _ in range(6)]
+    many = [(i, " ".join(words(r.randrange(30), r) if r.random() < 0.5 else r.choice(passages) for _ in range(8))) for i in range(60)]
+    d = spark.createDataFrame(many, "doc_id long, text string").repartition(5)
+    assert run(d) == removed(many)
+    monkeypatch.setattr(substring_dedup, "CROWDED", 2)
+    spark.conf.set(C.BATCH, "3")  # keys that go on over batches
+    try:
+        assert run(d) == removed(many)
+        monkeypatch.setattr(C.KeySet, "LIMIT", 1)  # beyond the broadcast: joins
+        assert run(d) == removed(many)
+    finally:
+        spark.conf.set(C.BATCH, "2000")
+    texts = {r.doc_id: r.text for r in substring_dedup.strip_repeats(docs).collect()}
+    assert texts[3] == "one" and texts[11] == ""
+
+
+def check_packing(texts, pieces):
+    by_doc, by_seq = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_seq.setdefault(p.sequence_id, []).append(p)
+    padding = 0
+    for i, t in dict(texts).items():
+        ids, own, times = packing.document_ids(t), by_doc.pop(i), texts.count((i, t))
+        assert sum(p.length for p in own) == len(ids) * times
+        assert all(p.doc_tokens == len(ids) and zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in own)
+        assert sum(p.start for p in own if p.start == 0) == 0
+        cover = np.zeros(len(ids), int)
+        for p in own:
+            cover[p.start : p.start + p.length] += 1
+        assert (cover == times).all()
+    assert not by_doc
+    for own in by_seq.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 1024
+        padding += 0 if at & (at - 1) == 0 else 1024 - at
+    return padding
+
+
+def test_packing(spark, docs):
+    for d in (docs, odd(docs)):
+        assert check_packing(TEXTS, packing.pack(d).collect()) == 0
+    r = random.Random(8)
+    many = [(i, words(r.randrange(900), r)) for i in range(300)]
+    assert check_packing(many, packing.pack(spark.createDataFrame(many, "doc_id long, text string")).collect()) == 0
+
+
+def test_column_generation():
+    p = packing.Patterns([300, 400, 324, 512, 700], [100, 100, 100, 51, 100])
+    done = p.rounded()
+    assert all(sum(n * k for n, k in pattern.items()) == 1024 for pattern, _ in done)
+    assert sum(t for _, t in done) >= 100 + 25  # 324 is used up
+    used = {n: sum(pattern.get(n, 0) * t for pattern, t in done) for n in p.lengths}
+    assert all(used[n] <= have for n, have in zip(p.lengths, p.have, strict=True))
+
+
+def test_tokenizer_twin():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for text in (*[x for _, x in TEXTS if x], "it's <|endoftext|> 12  34\n\n\t é中文🙂 ¼²", BASE):
+        assert packing.encoder()(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_ftrl_is_sparse_and_learns(spark):
+    r = random.Random(3)
+    many = [(i, words(40, r) + (" awful " if i % 4 == 0 else " ") + words(40, r)) for i in range(800)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(600)] + [(5000, 1, 1), (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame([*many, (9001, None), (9002, ""), (9002, "")], "doc_id long, text string")
+    out = toxicity.toxicity(d, labels).collect()
+    assert len(out) == 803 and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.3) for x in out)
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in out)
+    wrong = sum(x.predicted != (x.doc_id % 4 == 0) for x in out if x.doc_id < 800)
+    assert wrong <= 16
+    assert len(toxicity.fit(d, labels)[0]) < 2000
+    kept = toxicity.keep_clean(odd(d), labels)
+    assert kept.columns == odd(d).columns and {x.doc_id for x in kept.collect()} == {x.doc_id for x in out if not x.predicted}
+    assert toxicity.toxicity(d, labels.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_language_id(spark):
+    r = random.Random(2)
+    tongues = {"aa": ["the", "house", "with", "thing", "under"], "bb": ["der", "haus", "mit", "unter", "ding"]}
+    many = [(i, " ".join(r.choice(tongues[k]) for _ in range(20)), k) for i in range(120) for k in [("aa", "bb")[i % 2]]]
+    extra = [(500, None, "aa"), (501, "123 !! ...", "bb"), (502, "", None), (503, "house", None), (503, "house", None)]
+    out = {x.doc_id: x for x in language_id.language_id(odd(spark.createDataFrame([*many, *extra], "doc_id long, text string, lang string"))).collect()}
+    assert all(out[i].lang_pred == k for i, _, k in many) and out[503].lang_pred == "aa"
+    assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (500, 501, 502))
+    assert all(x.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= x.score <= 1 for i, x in out.items())
+
+
+def test_forward_sums_all_segmentations():
+    v = language_id.vocabulary("piece_bpe_32k.model")
+    p = np.random.default_rng(1).random((v.n + 2, 1))
+    p[v.n + 1] = 0
+    ids = {x: i for i, x in enumerate(v.pieces)}
+
+    def brute(w):
+        return 1.0 if not w else sum(p[ids.get(w[:k], v.n if k == 1 else v.n + 1), 0] * brute(w[k:]) for k in range(1, min(8, len(w)) + 1))
+
+    for w in ("▁the", "▁walking", "qzxj", "▁中文"):
+        found = v.lookup(np.array([[ord(c) for c in w]], np.uint32))
+        assert language_id.forward(found, p)[0, -1, 0] == pytest.approx(brute(w))
+        uses = language_id.expected(found, p, np.ones(1))
+        longest = {x: len(x) for x in v.pieces}
+        assert sum(uses[i] * longest[v.pieces[i]] for i in range(v.n)) + uses[v.n] == pytest.approx(len(w))
+
+
+def align_brute(a, b):
+    best, h = 0.0, np.zeros((len(a) + 1, len(b) + 1))
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -0.5), h[i - 1, j] - 0.5, h[i, j - 1] - 0.5)
+            best = max(best, h[i, j])
+    return best
+
+
+def test_alignment():
+    r = random.Random(7)
+    for _ in range(60):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(1, 14))] for _ in range(2))
+        assert decontamination.align(a, b)[0] == pytest.approx(align_brute(a, b))
+    assert decontamination.align(list("xabcy"), list("qqabcqq"))[1:] == (2, 5)
+
+
+def test_decontamination(spark, monkeypatch):
+    r = random.Random(6)
+    fresh = lambda n: " ".join("".join(r.choice("hijklmno") for _ in range(6)) for _ in range(n))
+    items = [(i, fresh(30)) for i in range(12)] + [(50, None), (51, ""), (52, "hi you")]
+    edited = items[1][1].split()
+    for k in range(0, 30, 6):
+        edited[k] = "changed"
+    texts = [(1, words(50) + " " + items[0][1].upper() + ". " + words(50)), (2, " ".join(edited) + " " + words(10)), (3, words(200)), (4, None), (5, ""), (6, items[2][1][:60] + " " + words(90)), (7, items[3][1]), (7, items[3][1])]
+    texts += [(100 + i, words(20, r) + " " + items[4][1]) for i in range(200)]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 0), (2, 1), (7, 3), *((100 + i, 4) for i in range(200))}
+    assert {(x.doc_id, x.item_id) for x in decontamination.contaminated(odd(d), b).collect()} == want
+    monkeypatch.setattr(decontamination, "BLOCK_ROWS", 5)
+    assert {(x.doc_id, x.item_id) for x in decontamination.contaminated(d, b).collect()} == want
+    assert sorted(x.doc_id for x in decontamination.keep_uncontaminated(d, b).collect()) == [3, 4, 5, 6]
+    assert decontamination.contaminated(d, b.limit(0)).count() == 0
+
+
+def lines_brute(texts):
+    first, out = {}, []
+    for i, t in sorted(set(texts), key=lambda x: x[0]):
+        parts = line_dedup.chunked(t or "")
+        assert "\n".join(c for _, _, c in parts) == (t or "")
+        kept, gone = [], 0
+        for _, n, c in parts:
+            if n >= 2 and c in first:
+                gone += n
+            else:
+                kept.append(c)
+                if n >= 2:
+                    first[c] = i
+        out += [(i, len((t or "").split("\n")), gone, hashlib.sha256("\n".join(kept).encode()).hexdigest())] * texts.count((i, t))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup(spark):
+    r = random.Random(11)
+    block = [words(6, r) for _ in range(12)]
+    many = [(i, "\n".join([words(5, r) for _ in range(r.randrange(6))] + block[r.randrange(3) :] + [words(4, r)])) for i in range(40)]
+    many += [(100, None), (101, ""), (102, "\n\n\n\n"), (103, "\n\n\n\n"), (5, many[5][1])]
+    d = spark.createDataFrame(many, "doc_id long, text string").repartition(4)
+    got = rows(line_dedup.line_dedup(odd(d)), "doc_id", "n_lines", "n_removed", "kept_sha256")
+    assert got == lines_brute(many) and sum(x[2] for x in got) > 200
+
+
+def test_quality(spark):
+    r = random.Random(12)
+    good = [(i, ". ".join(words(12, r).capitalize() for _ in range(20)) + ".") for i in range(60)]
+    bad = [(100 + i, " ".join(x.upper() + "!!" for x in words(8, r).split()) * 8) for i in range(30)] + [(200, None), (201, ""), (201, "")]
+    out = quality.quality(odd(spark.createDataFrame(good + bad, "doc_id long, text string"))).collect()
+    assert len(out) == 93 and all(x.kept for x in out if x.doc_id < 100) and not any(x.kept for x in out if 100 <= x.doc_id < 200)
+    q, table, prior = quality.posterior({0b0101: 70, 0b1010: 20, 0b0110: 5}, 2)
+    assert q[0b0101] > 0.9 > 0.1 > q[0b1010] and 0.6 < prior < 0.95
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10
+
+
+def test_pii(spark):
+    cards, dates = ["4539578763621486", "4716-1089-9971-6531", "6011000990139424"], ["2024-02-29", "1999/12/31"]
+    text = f"a {cards[0]}, b {cards[1]} c {cards[2]}. 1234567890123456 {dates[0]} {dates[1]} 2023-02-30 +1 (625) 555-7196 71.234.154.227, 999.1.1.1 me.37@mail4.example.com 123-45-6789 password=ab12 v4.0. end"
+    d = spark.createDataFrame([(1, text), (1, text), (2, "again " + cards[0] + " " + dates[0]), (3, None), (4, ""), (5, "no pii 12.5 in 2024")], "doc_id long, text string")
+    out = {x.doc_id: x.text for x in pii.pseudonymised(odd(d)).collect()}
+    assert out[3] is None and out[4] == "" and out[5] == "no pii 12.5 in 2024"
+    a, b = text.split(" "), out[1].split(" ")
+    assert len(a) == len(b)
+    shape = lambda s: re.sub("[0-9]", "9", re.sub("[a-z]", "a", s))
+    same = {"1234567890123456", "2023-02-30", "999.1.1.1", "v4.0.", "end", "a", "b", "c", "+1"}
+    for x, y in zip(a, b, strict=True):
+        assert (x == y) == (x in same), (x, y)
+        if "." not in x:
+            assert shape(x) == shape(y)
+    for x in b[1], b[3], b[5]:
+        assert luhn(re.sub(r"\D", "", x)) == 0
+    assert out[2].split(" ")[1] == b[1].rstrip(",") and out[2].split(" ")[2] == b[7]
+    assert pii.pseudonymised(d, "other").where("doc_id = 2").first().text != out[2]
+
+
+def test_feistel_is_a_permutation(spark):
+    d = spark.range(189 * 7).select(pii.feistel("k", F.lit("t"), F.col("id"), F.lit(189), F.lit(7)).alias("x"))
+    assert sorted(r.x for r in d.collect()) == list(range(189 * 7))
+    n = spark.range(1000).select(pii.permuted("k", "t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("x"))
+    assert len({r.x for r in n.collect()}) == 1000
+
+
+def test_empty_tables(spark):
+    C.reachable(spark)
+    d = spark.createDataFrame([], DOCS)
+    labels, items = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    outs = [exact_dedup.exact_dedup(d), simhash.simhash_groups(d), packing.pack(d), substring_dedup.substring_dedup(d), line_dedup.line_dedup(d), quality.quality(d), pii.pseudonymised(d), language_id.language_id(d), toxicity.toxicity(d, labels), decontamination.contaminated(d, items)]
+    assert [o.count() for o in outs] == [0] * len(outs)
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    item = " ".join("".join(r.choice("hijklmno") for _ in range(6)) for _ in range(30))
+    bad = [(i, words(20, r) + " vile scum " + words(20, r)) for i in range(100, 220)]
+    good = [(i, words(60, r)) for i in range(300, 460)]
+    plain = [(1, BASE), (2, BASE + "  "), (3, words(400, r)), (5, words(50, r) + " " + item), (6, None)]
+    long = plain[2][1].split()
+    long[100] = "changed"
+    texts = plain + [(4, " ".join(long))] + bad + good
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i < 300)) for i, _ in bad + good], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {x.doc_id for x in out}
+    assert {1, 3, 6} <= kept and not kept & {2, 4, 5} and not any(100 <= i < 220 for i in kept) and len(kept & set(range(300, 460))) == 160
+    left = [(i, t) for i, t in texts if i in kept]
+    assert check_packing(left, out) == 0
+
+
+def test_features_are_hashed_grams():
+    import pyarrow as pa
+
+    doc, found = linear.features(pa.array(["a b c", None, "A, b c!"]))
+    sets = [set(found[doc == i].tolist()) for i in range(3)]
+    assert len(sets[0]) == 6 and not sets[1] and sets[0] == sets[2]
