@@ -3,7 +3,7 @@ skip-grams. L1 leaves few weights, which are broadcast to score every text.
 
 Defined cases: null text is empty and scores the bias; a document with several
 labels counts as toxic if one says so; labels without a document and null
-labels teach nothing; without any label every score is 0.5 and predicted 0;
+labels teach nothing; without any label every score is next to 0;
 repeated rows are scored each; further columns are ignored.
 """
 
@@ -36,7 +36,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     sample = texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
     weights = linear.train(sample.select("order", "text", "target"))
     if len(weights[0]) == 0:
-        return np.array([1 << linear.BITS]), np.array([-1e-6], np.float32)
+        return np.array([1 << linear.BITS]), np.array([-20], np.float32)
     return weights
 
 
