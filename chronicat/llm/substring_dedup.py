@@ -27,6 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ from . import common as C
 
 WINDOW, PHRASE = 20, 8
 #: Text that is factored at a time.
-SLICE = 6 << 20
+SLICE = 2 << 20
+#: Anchors that this many slices hold are split by window.
+CROWDED = 50_000
 EMPTY = hashlib.sha256(b"").digest()
 
 
@@ -78,13 +81,15 @@ def _anchors(batches, window: int, phrase: int):
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], names=["anchor", "times"])
 
 
-FACTORS = "w1 long, w2 long, doc_id long, row long, start long, until long, anchor long"
+FACTORS = "key long, doc_id long, row long, start long, until long, windows binary, anchor long"
 
 
-def _factors(batches, known, log: int, window: int, phrase: int):
+def _factors(batches, known, log: int, crowded, crowded_log: int, window: int, phrase: int):
     """Windows at anchors that recur: the first of each in its slice, to be
-    compared with the others (until = 0), and runs of starts [start, until)
-    that have an earlier one in the slice."""
+    compared with the others (until = 0; one row for neighbours at one anchor,
+    with the hash of each), and runs of starts [start, until) that have an
+    earlier one in the slice. Equal windows have equal keys: the anchor, or for
+    crowded anchors the window."""
     for b in batches:
         for s in C.slices(b, "text", SLICE):
             row, ids = np.asarray(s.column("row")), np.asarray(s.column("doc_id"))
@@ -96,57 +101,82 @@ def _factors(batches, known, log: int, window: int, phrase: int):
                 starts, anchors = starts[some], anchors[some]
             if not len(starts):
                 continue
-            w1, w2 = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-            other = C.mix(hashes ^ np.uint64(0xA0761D6478BD642F))
+            w = np.zeros(len(starts), np.uint64)
             with np.errstate(over="ignore"):
                 for j in range(window):
-                    w1 = w1 * np.uint64(0xD6E8FEB86659FD93) + hashes[starts + j]
-                    w2 = w2 * np.uint64(0xE7037ED1A0B428DB) + other[starts + j]
-            w1, w2 = C.mix(w1), C.mix(w2)
+                    w = w * np.uint64(0xD6E8FEB86659FD93) + hashes[starts + j]
+            w, key = C.mix(w), phrases[anchors]
+            if crowded is not None:
+                key = np.where(C.KeySet.has(crowded.value, crowded_log, key), w, key)
             same_doc = np.concatenate(([False], (row[1:] == row[:-1]) & (ids[1:] == ids[:-1])))
             rank = np.cumsum(~same_doc)[doc[starts]]  # rows of the same document share a rank
             local = starts - offsets[doc[starts]]
-            by = np.argsort(w1, kind="stable")
-            new = np.concatenate(([True], (w1[by][1:] != w1[by][:-1]) | (w2[by][1:] != w2[by][:-1])))
-            head = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
-            first = by[head]
-            earlier = (rank[first] != rank[by]) | (local[first] != local[by])
+            by = np.lexsort((w, key))
+            new = np.concatenate(([True], (w[by][1:] != w[by][:-1]) | (key[by][1:] != key[by][:-1])))
+            first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
             late = np.zeros(len(by), bool)
-            late[by] = earlier
-            keep = by[new]
-            at = np.flatnonzero(late)
-            cut = np.flatnonzero(np.concatenate(([True], (np.diff(starts[at]) != 1) | (np.diff(doc[starts[at]]) != 0)))) if len(at) else at
-            run, end = at[cut], at[np.concatenate((cut[1:], [len(at)])) - 1] if len(at) else at
-            signed = [np.concatenate((a[keep].view(np.int64), b_)) for a, b_ in ((w1, row[doc[starts[run]]]), (w2, local[run]))]
-            rows = np.concatenate((keep, run))
-            until = np.concatenate((np.zeros(len(keep), np.int64), local[end] + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*signed, ids[doc[starts[rows]]], row[doc[starts[rows]]], local[rows], until, phrases[anchors[rows]].view(np.int64))], names=[c.split()[0] for c in FACTORS.split(", ")])
+            late[by] = (rank[first] != rank[by]) | (local[first] != local[by])
+            keep = np.sort(by[new])
+            breaks = np.concatenate(([True], (np.diff(starts[keep]) != 1) | (np.diff(doc[starts[keep]]) != 0) | (np.diff(key[keep]) != 0)))
+            at = keep[breaks]
+            ends = np.append(np.flatnonzero(breaks)[1:], len(keep))
+            bounds = np.concatenate(([0], ends * 8)).astype(np.int32)
+            data = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(w[keep].tobytes())])
+            run_at, run_end = _runs(np.flatnonzero(late), starts, doc[starts])
+            rows = np.concatenate((at, run_at))
+            of = doc[starts[rows]]
+            columns = (
+                np.concatenate((key[at].view(np.int64), row[doc[starts[run_at]]])),
+                ids[of],
+                row[of],
+                local[rows],
+                np.concatenate((np.zeros(len(at), np.int64), local[run_end] + 1)),
+            )
+            windows = pa.concat_arrays([data, pa.array([b""] * len(run_at), pa.binary())])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), windows, pa.array(phrases[anchors[rows]].view(np.int64))], names=[c.split()[0] for c in FACTORS.split(", ")])
+
+
+def _runs(at: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of neighbouring starts of one document among
+    the windows ``at``; starts and doc have an entry per window."""
+    if not len(at):
+        return at, at
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(starts[at]) != 1) | (np.diff(doc[at]) != 0))))
+    return at[cut], at[np.append(cut[1:], len(at)) - 1]
 
 
 def _late(batches):
-    """Rows come sorted by window, doc_id, row, start: tells all but the first
-    of each window, and the runs that are known."""
-    last: tuple = ()
+    """Rows come sorted by key, doc_id, row, start: tells, as runs of starts,
+    the windows with an earlier equal one, and the runs that are known. Of a
+    key that goes on in the next batch, the first of each window is held."""
+    none = np.zeros(0, np.int64)
+    held = (none, none, none, none)  # key, window, row, start
     for b in batches:
-        w1, w2, ids, row, start, until = (np.asarray(c).astype(np.int64) for c in b.columns[:6])
-        if not len(w1):
+        key, _, row, start, until = (np.asarray(c).astype(np.int64) for c in b.columns[:5])
+        if not len(key):
             continue
-        run = until > 0
-        at = np.flatnonzero(~run)
-        out = np.zeros(len(w1), bool)
-        if len(at):
-            values = np.stack((w1[at], w2[at], ids[at], row[at], start[at]))
-            new = np.concatenate(([True], (values[:2, 1:] != values[:2, :-1]).any(axis=0)))
-            if last and last[:2] == (values[0, 0], values[1, 0]):
-                new[0] = False
-            head = np.maximum.accumulate(np.where(new, np.arange(len(at)), -1))
-            firsts = values[2:, np.maximum(head, 0)]
-            if last:
-                firsts[:, head < 0] = np.array(last[2:])[:, None]
-            out[at] = (firsts != values[2:]).any(axis=0)
-            last = (values[0, -1], values[1, -1], *firsts[:, -1].tolist())
-        out |= run
-        yield pa.RecordBatch.from_arrays([pa.array(row[out]), pa.array(start[out]), pa.array(np.where(run, until, start + 1)[out])], names=["row", "start", "until"])
+        windows = b.column(5)
+        sizes = np.asarray(pc.binary_length(windows), np.int64) // 8
+        w = np.array(np.frombuffer(b"".join(windows.to_pylist()), np.int64))
+        of = np.repeat(np.arange(len(key)), sizes)
+        inner = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        n = len(held[0])
+        keys, w, rows, starts = (np.concatenate(x) for x in zip(held, (key[of], w, row[of], start[of] + inner), strict=True))
+        known = until > 0
+        out = [(row[known], start[known], until[known])]
+        if len(w):
+            by = np.lexsort((w, np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))))
+            new = np.concatenate(([True], (w[by][1:] != w[by][:-1]) | (keys[by][1:] != keys[by][:-1])))
+            first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+            late = np.zeros(len(by), bool)
+            late[by] = (rows[first] != rows[by]) | (starts[first] != starts[by])
+            late[:n] = False
+            at, end = _runs(np.flatnonzero(late), starts, rows)
+            out.append((rows[at], starts[at], starts[end] + 1))
+            keep = by[new]
+            keep = keep[keys[keep] == keys[-1]]
+            held = keys[keep], w[keep], rows[keep], starts[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["row", "start", "until"])
 
 
 def _cut(batches, window: int):
@@ -181,14 +211,16 @@ def _repeats(docs: DataFrame, window: int, phrase: int) -> tuple[DataFrame, Data
     gone = heads.where("copy").select(F.col("row").alias("k"))
     once = C.without(rows, gone, gone.count(), "row")
     anchors = once.mapInArrow(partial(_anchors, window=window, phrase=phrase), "anchor long, times int")
-    again = C.stash(anchors.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor"), "anchors")
+    again = C.stash(anchors.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1"), "anchors")
     known = C.KeySet(again.select(F.col("anchor").alias("k")), again.count())
-    found = once.mapInArrow(partial(_factors, known=known.bits, log=known.log, window=window, phrase=phrase), FACTORS)
+    often = again.where(F.col("times") > CROWDED)  # at most one in CROWDED
+    crowded = C.KeySet(often.select(F.col("anchor").alias("k")), often.count())
+    found = once.mapInArrow(partial(_factors, known=known.bits, log=known.log, crowded=crowded.bits, crowded_log=crowded.log, window=window, phrase=phrase), FACTORS)
     if known.bits is None:
         found = found.where("until > 0").unionByName(found.where("until = 0").join(again, "anchor", "left_semi"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = found.drop("anchor").repartition(parts, "w1", "w2").sortWithinPartitions("w1", "w2", "doc_id", "row", "start")
-    late = found.mapInArrow(_late, "row long, start long, until long").distinct()
+    found = found.select("key", "doc_id", "row", "start", "until", "windows").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "row", "start")
+    late = found.mapInArrow(_late, "row long, start long, until long")
     late = C.stash(late.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("until").alias("untils")), "late")
     some = C.matching(once, late, late.count(), "row")
     return heads, some.select("row", "text", "starts", "untils").mapInArrow(partial(_cut, window=window), "row long, removed long, kept_sha binary, kept_text string")
