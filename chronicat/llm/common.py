@@ -26,12 +26,17 @@ SLICE_BYTES = 3 << 20
 #: are at most 2 * HOT_KEYS hot keys however large the input is.
 HOT_KEYS = 1000
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _MADE: list[tuple] = []
 
 
 def reachable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it
-    (on a cluster it is installed, or given by --py-files)."""
+    (on a cluster it is installed, or given by --py-files), and keep Arrow
+    batches of whole texts small unless the session says otherwise."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, (root, env.get("PYTHONPATH"))))
