@@ -27,14 +27,21 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
+def training_sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """(order, text, target). Rows are chosen by one hash and learned in the
+    order of another: the chosen rows of the rarer class reach further up the
+    first hash, and would come last in its order, without the others."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("target"))
-    known = known.where(~held_out()).withColumn("order", F.xxhash64("doc_id"))
-    toxic = known.where("target = 1").orderBy("order", "doc_id").limit(max_train // 3)
-    some = toxic.unionByName(known.where("target = 0").orderBy("order", "doc_id").limit(max_train - max_train // 3))
+    known = known.where(~held_out()).withColumn("choice", F.xxhash64("doc_id"))
+    toxic = known.where("target = 1").orderBy("choice", "doc_id").limit(max_train // 3)
+    some = toxic.unionByName(known.where("target = 0").orderBy("choice", "doc_id").limit(max_train - max_train // 3))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_of().alias("text"))
     sample = texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-    weights = linear.train(sample.select("order", "text", "target"))
+    return sample.select(F.xxhash64(F.lit("order"), "doc_id").alias("order"), "text", "target")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
+    weights = linear.train(training_sample(docs, labels, max_train))
     if len(weights[0]) == 0:
         return np.array([1 << linear.BITS]), np.array([-20], np.float32)
     return weights

@@ -240,6 +240,14 @@ def test_ftrl_is_sparse_and_learns(spark):
     assert toxicity.toxicity(d, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_both_classes_in_turn(spark):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 5 == 0).cast("int").alias("toxic"))
+    target = [r.target for r in toxicity.training_sample(d, labels, 600).orderBy("order").collect()]
+    assert len(target) == 600 and sum(target) == 200
+    assert all(30 <= sum(target[i : i + 150]) <= 70 for i in range(0, 600, 150))
+
+
 def test_language_id(spark):
     r = random.Random(2)
     tongues = {"aa": ["the", "house", "with", "thing", "under"], "bb": ["der", "haus", "mit", "unter", "ding"]}
