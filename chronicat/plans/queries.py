@@ -34,7 +34,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
     c = cat(spark, sf)
-    held = asof.alive(c).where("cast(split_part(target, '-', 1) as bigint) % 7 <> 0").select(F.col("manifest").alias("archive"), F.col("target").alias("member")).distinct()
+    held = asof.alive(c).where("try_cast(split_part(target, '-', 1) as bigint) % 7 <> 0").select(F.col("manifest").alias("archive"), F.col("target").alias("member")).distinct()
     junk = c.where("pos % 97 = 0").select(F.col("manifest").alias("archive"), F.concat(F.lit("junk-"), F.col("pos").cast("string")).alias("member"))
     each = c.select(F.col("manifest").alias("archive")).distinct()
     own = each.where("archive <> 'site3'").select("archive", F.lit(catalog.MANIFEST).alias("member"))
