@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
 Word trigrams of the test items are looked up in every document; where some
-stand close together, the passage around them is a candidate. The seeds of each
-item are ranked by the number of documents that hold them, and the rarer half
-(SEEDS at least) counts: a rank, not a limit, so a passage in thousands of
-documents is found in each. Candidates with a rare seed are aligned with the
-item word by word; the score is the best local alignment over the item's
+stand close together, the passage around them is a candidate. A candidate is
+passed over only where it can't reach the threshold: each word of the item
+scores once at most, so the words it shares with the passage bound the score.
+All others are aligned with the item word by word, however often the item's
+seeds occur elsewhere; the score is the best local alignment over the item's
 length.
 
 Defined cases: null and empty texts match nothing, nor do items without a word;
@@ -19,17 +19,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-GRAM, SEEDS = 3, 8
+GRAM = 3
 #: Share of the best possible alignment from which a passage is a copy.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Items are broadcast in blocks of at most so many bytes of text and rows.
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 20_000
+#: Words of passages, or of the item for each if it is longer, that are scored
+#: side by side (one longer stands alone).
+CELLS = 1 << 18
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_-"
 
 
@@ -58,7 +61,7 @@ def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 
 
 class Seeds:
-    """Seeds of a block: number of each, and the items that hold it."""
+    """Seeds of a block, the items that hold each, and numbered words."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, words_of(t)) for i, t in items]
@@ -70,8 +73,7 @@ class Seeds:
                 if n == len(self.of):
                     self.of.append([])
                 self.of[n].append(k)
-        self.first = {g[0] for g in self.seeds}
-        self.vocabulary = {w for g in self.seeds for w in g}
+        self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in self.items for w in words))}
         self.short = {len(g) for g in self.seeds} - {GRAM}
 
 
@@ -84,41 +86,51 @@ def _ready(block) -> Seeds:
     return _READY[1]
 
 
-def _hits(batches, block):
-    """A row per document, item and passage: item index, start, words, seeds."""
-    held = _ready(block)
-    for b in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for s in C.slices(b):
-            offsets, codes, words = C.split_words(s.column("text"))
-            plains = [plain(w) for w in words]
-            known = np.fromiter((w in held.vocabulary for w in plains), bool, len(plains))[codes] if words else np.zeros(0, bool)
-            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for n in {GRAM, *held.short}:
-                if len(known) < n:
-                    continue
-                run = known[: len(known) - n + 1].copy()
-                for j in range(1, n):
-                    run &= known[j : len(known) - n + 1 + j]
-                for at in np.flatnonzero(run).tolist():
-                    seed = held.seeds.get(tuple(plains[c] for c in codes[at : at + n].tolist()))
-                    if seed is not None:
-                        doc = int(np.searchsorted(offsets, at, side="right")) - 1
-                        if at + n <= offsets[doc + 1]:
-                            for k in held.of[seed]:
-                                found.setdefault((doc, k), []).append((at, seed))
-            for (doc, k), places in found.items():
-                places.sort()
-                reach = len(held.items[k][1]) + 8
-                lo, hi = int(offsets[doc]), int(offsets[doc + 1])
-                start = 0
-                for i in range(1, len(places) + 1):
-                    if i == len(places) or places[i][0] - places[i - 1][0] > reach:
-                        a, z = max(lo, places[start][0] - reach), min(hi, places[i - 1][0] + reach)
-                        for column, value in zip(out, (s.column("doc_id")[doc].as_py(), k, a - lo, " ".join(plains[c] for c in codes[a:z].tolist()), sorted({x for _, x in places[start:i]})), strict=True):
-                            column.append(value)
-                        start = i
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.int32()))], names=["doc_id", "item", "start", "passage", "seeds"])
+def _passages(held: Seeds, s: pa.RecordBatch):
+    """Plain words of a slice by code, the codes of its texts in a row, their
+    numbers in the block (-1: in no item), where texts begin, and by item the
+    document and reach of each passage around its seeds."""
+    offsets, codes, words = C.split_words(s.column("text"))
+    plains = [plain(w) for w in words]
+    numbers = np.fromiter((held.numbers.get(w, -1) for w in plains), np.int64, len(plains))[codes] if words else np.zeros(0, np.int64)
+    found: dict[tuple[int, int], list[int]] = {}
+    for n in {GRAM, *held.short}:
+        if len(numbers) < n:
+            continue
+        run = numbers[: len(numbers) - n + 1] >= 0
+        for j in range(1, n):
+            run &= numbers[j : len(numbers) - n + 1 + j] >= 0
+        for at in np.flatnonzero(run).tolist():
+            seed = held.seeds.get(tuple(plains[c] for c in codes[at : at + n].tolist()))
+            if seed is not None:
+                doc = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + n <= offsets[doc + 1]:
+                    for k in held.of[seed]:
+                        found.setdefault((doc, k), []).append(at)
+    by_item: dict[int, list[tuple[int, int, int]]] = {}
+    for (doc, k), places in found.items():
+        places.sort()
+        reach = len(held.items[k][1]) + 8
+        lo, hi = int(offsets[doc]), int(offsets[doc + 1])
+        start = 0
+        for i in range(1, len(places) + 1):
+            if i == len(places) or places[i] - places[i - 1] > reach:
+                by_item.setdefault(k, []).append((doc, max(lo, places[start] - reach), min(hi, places[i - 1] + reach)))
+                start = i
+    return plains, codes, numbers, offsets, by_item
+
+
+def _side_by_side(spans: list[tuple[int, int, int]], least: int):
+    """The passages of an item in parts of at most CELLS words when padded to
+    the longest, and to ``least``."""
+    spans = sorted(spans, key=lambda x: x[2] - x[1])
+    at = 0
+    while at < len(spans):
+        stop = at + 1
+        while stop < len(spans) and (stop + 1 - at) * max(least, spans[stop][2] - spans[stop][1]) <= CELLS:
+            stop += 1
+        yield spans[at:stop]
+        at = stop
 
 
 def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
@@ -146,18 +158,51 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     return best
 
 
-def _aligned(batches, block):
+def shared(item: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """For passages (numbers of words, a row each, padded by -1): how many
+    words of the item find a partner, each word of a passage used once. No
+    alignment has more matches."""
+    ids, wanted = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(ids, passages), len(ids) - 1)
+    row, column = np.nonzero(ids[at] == passages)
+    n = np.bincount(row * len(ids) + at[row, column], minlength=len(passages) * len(ids)).reshape(len(passages), -1)
+    return np.minimum(n, wanted).sum(axis=1)
+
+
+def scores(item: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """The scores that ``align`` gives, of passages side by side."""
+    score, best = np.zeros((len(passages), passages.shape[1] + 1)), np.zeros(len(passages))
+    steps = np.arange(passages.shape[1] + 1) * GAP
+    for w in item.tolist():
+        new = np.maximum(score + GAP, 0)
+        np.maximum(new[:, 1:], score[:, :-1] + np.where(passages == w, MATCH, MISMATCH), out=new[:, 1:])
+        score = np.maximum.accumulate(new - steps, axis=1) + steps
+        np.maximum(best, score.max(axis=1), out=best)
+    return best
+
+
+def _found(batches, block, threshold: float):
+    """A row per document, item and passage that reaches the threshold."""
     held = _ready(block)
     for b in batches:
-        items, scores, starts, ends = [], [], [], []
-        for k, start, passage in zip(*(b.column(n).to_pylist() for n in ("item", "start", "passage")), strict=True):
-            item, words = held.items[k]
-            s, lo, hi = align(words, passage.split(" "))
-            items.append(item)
-            scores.append(s / (MATCH * len(words)))
-            starts.append(start + lo)
-            ends.append(start + hi)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(items, pa.int64()), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "item_id", "score", "word_from", "word_to"])
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for s in C.slices(b):
+            plains, codes, numbers, offsets, by_item = _passages(held, s)
+            for k, spans in by_item.items():
+                item, words = held.items[k]
+                own = np.array([held.numbers[w] for w in words])
+                for part in _side_by_side(spans, len(words)):
+                    rows = np.full((len(part), max(z - a for _, a, z in part)), -1)
+                    for i, (_, a, z) in enumerate(part):
+                        rows[i, : z - a] = numbers[a:z]
+                    may = np.flatnonzero(shared(own, rows) * MATCH / (MATCH * len(words)) >= threshold)
+                    for i in may[scores(own, rows[may]) / (MATCH * len(words)) >= threshold].tolist():
+                        doc, a, z = part[i]
+                        score, lo, hi = align(words, [plains[c] for c in codes[a:z].tolist()])
+                        start = a - int(offsets[doc])
+                        for column, value in zip(out, (s.column("doc_id")[doc].as_py(), item, score / (MATCH * len(words)), start + lo, start + hi), strict=True):
+                            column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], names=["doc_id", "item_id", "score", "word_from", "word_to"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -168,15 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     out = None
     for items in blocks(benchmark):
         block = spark.sparkContext.broadcast(items)
-        hits = C.stash(texts.mapInArrow(partial(_hits, block=block), "doc_id long, item int, start long, passage string, seeds array<int>"), "hits")
-        each = hits.select("item", F.explode("seeds").alias("seed"))
-        often = each.groupBy("item", "seed").agg(F.count("*").alias("n"))
-        by = Window.partitionBy("item")
-        often = often.withColumn("rank", F.row_number().over(by.orderBy("n", "seed"))).withColumn("all", F.count("*").over(by))
-        rare = often.where((F.col("rank") <= SEEDS) | (F.col("rank") * 2 <= F.col("all"))).groupBy("item").agg(F.collect_list("seed").alias("rare"))
-        # One row per item of the block, which is bounded.
-        some = hits.join(F.broadcast(rare), "item").where(F.arrays_overlap("seeds", "rare")).select("doc_id", "item", "start", "passage")
-        found = some.mapInArrow(partial(_aligned, block=block), "doc_id long, item_id long, score double, word_from long, word_to long").where(F.col("score") >= threshold)
+        found = texts.mapInArrow(partial(_found, block=block, threshold=threshold), "doc_id long, item_id long, score double, word_from long, word_to long")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -311,6 +311,30 @@ def test_decontamination(spark, monkeypatch):
     assert decontamination.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_aligns_an_edited_copy_beside_full_copies(spark):
+    """The edited copy's seeds are the item's most common ones then."""
+    r = random.Random(16)
+    item = ["".join(r.choice("hijklmno") for _ in range(6)) for _ in range(30)]
+    edited = [w if k % 4 < 3 else "changed" for k, w in enumerate(item)]  # 8 of 28 trigrams are left
+    texts = [(1, " ".join(edited) + " " + words(10, r)), (2, words(90, r) + " " + " ".join(item[:9]))]
+    d = lambda copies: spark.createDataFrame(texts + [(10 + i, " ".join(item)) for i in range(copies)], "doc_id long, text string")
+    b = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    for copies in (0, 1, 50):
+        assert {x.doc_id for x in decontamination.contaminated(d(copies), b).collect()} == {1, *range(10, 10 + copies)}
+
+
+def test_alignment_side_by_side():
+    r = random.Random(17)
+    for _ in range(60):
+        item, *passages = (r.choices(range(4), k=r.randrange(1, 14)) for _ in range(9))
+        padded = np.full((8, 14), -1)
+        for row, p in zip(padded, passages, strict=True):
+            row[: len(p)] = p
+        got = decontamination.scores(np.array(item), padded)
+        assert got.tolist() == [align_brute(item, p) for p in passages]
+        assert (decontamination.shared(np.array(item), padded) >= got).all()
+
+
 def lines_brute(texts):
     first, out = {}, []
     for i, t in sorted(set(texts), key=lambda x: x[0]):
