@@ -396,6 +396,15 @@ def test_pii(spark):
     assert pii.pseudonymised(d, "other").where("doc_id = 2").first().text != out[2]
 
 
+def test_pii_in_texts_without_a_digit(spark):
+    mail, key = "jane.doe@example.com", "AKIA" + "BCDEFGHIJKLMNOPQ"
+    texts = [(1, f"write to {mail} now"), (2, f"write to {mail} 7"), (3, f"key {key} end"), (4, f"key {key} 7"), (5, "password=abc end"), (6, "none of it")]
+    out = {x.doc_id: (x.text.split(" "), x.n_found) for x in pii.pseudonymised(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [out[i][1] for i in range(1, 7)] == [1, 1, 1, 1, 1, 0] and out[6][0] == texts[5][1].split(" ")
+    assert out[1][0][2] == out[2][0][2] != mail and out[1][0][2].endswith("@example.com")
+    assert out[3][0][1] == out[4][0][1] != key
+
+
 def test_feistel_is_a_permutation(spark):
     d = spark.range(189 * 7).select(pii.feistel("k", F.lit("t"), F.col("id"), F.lit(189), F.lit(7)).alias("x"))
     assert sorted(r.x for r in d.collect()) == list(range(189 * 7))
