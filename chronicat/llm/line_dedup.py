@@ -1,10 +1,16 @@
-"""Line dedup over content-defined chunks.
+"""Line dedup over pieces of lines.
 
-Line hashes are rolled over two lines; where the rolled hash is divisible by
-SPARSITY a chunk ends, so boundaries follow content and survive shifts. A chunk
-of two lines or more that occurred before (smaller doc_id, or earlier in the
-same document) is removed, after chunks of equal hash were compared byte by
-byte; should two differ, all of that hash stay.
+A piece of two lines or more that occurred before (smaller doc_id, or earlier in
+the same document) is removed, after pieces of equal hash were compared byte by
+byte; should two differ, all of that hash stay. The pieces of op5 are the
+windows of two lines at every line, so each line of any repeated run of two
+lines or more goes, wherever it stands; pieces of a text may overlap, as in
+three equal lines, of which the first stays.
+
+``chunked`` gives fewer pieces, content-defined: line hashes are rolled over two
+lines; where the rolled hash is divisible by SPARSITY a chunk ends, so
+boundaries follow content and survive shifts. A repeated run within a chunk is
+missed then.
 
 Defined cases: null text is empty; an empty text is one empty line; rows with
 the same doc_id and text are one document; an empty table gives an empty
@@ -45,27 +51,33 @@ def chunked(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def windows(text: str) -> list[tuple[int, int, str]]:
+    """(first line, lines, window) of every LEAST_LINES lines of a text."""
+    lines = text.split("\n")
+    return [(at, LEAST_LINES, "\n".join(lines[at : at + LEAST_LINES])) for at in range(len(lines) - LEAST_LINES + 1)]
+
+
 def _hash(chunk: str) -> tuple[int, int]:
     d = xxhash.xxh128_digest(chunk.encode("utf-8", "surrogatepass"))
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def _chunks(batches):
+def _chunks(batches, pieces):
     for b in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
         for row, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for k, (_, n, chunk) in enumerate(chunked(text)):
+            for k, (_, n, chunk) in enumerate(pieces(text)):
                 if n >= LEAST_LINES:
                     for column, value in zip(out, (*_hash(chunk), row, doc_id, k), strict=True):
                         column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["h", "g", "row", "doc_id", "k"])
 
 
-def _texts(batches, known, log: int):
+def _texts(batches, pieces, known, log: int):
     for b in batches:
         out: tuple[list, ...] = ([], [], [])
         for text in b.column("text").to_pylist():
-            for _, n, chunk in chunked(text):
+            for _, n, chunk in pieces(text):
                 if n >= LEAST_LINES:
                     for column, value in zip(out, (*_hash(chunk), chunk), strict=True):
                         column.append(value)
@@ -74,13 +86,17 @@ def _texts(batches, known, log: int):
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["h", "g", "chunk"]).filter(keep)
 
 
-def _cut(batches):
+def _cut(batches, pieces):
     for b in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
         for row, text, gone in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            drop, parts = set(gone or ()), chunked(text)
-            kept = "\n".join(c for k, (_, _, c) in enumerate(parts) if k not in drop)
-            for column, value in zip(out, (row, sum(n for _, n, _ in parts), sum(n for k, (_, n, _) in enumerate(parts) if k in drop), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept), strict=True):
+            drop, lines = set(gone or ()), text.split("\n")
+            stay = [True] * len(lines)
+            for k, (at, n, _) in enumerate(pieces(text)):
+                if k in drop:
+                    stay[at : at + n] = [False] * n
+            kept = "\n".join(x for x, s in zip(lines, stay, strict=True) if s)
+            for column, value in zip(out, (row, len(lines), stay.count(False), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept), strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3]), pa.array(out[4])], names=["row", "n_lines", "n_removed", "kept_sha256", "kept_text"])
 
@@ -88,24 +104,26 @@ def _cut(batches):
 CUT = "row long, n_lines long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, pieces=chunked) -> DataFrame:
     """Every row of docs: doc_id, n_lines, n_removed, kept_sha256."""
     text = C.text_of()
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    places = C.stash(rows.mapInArrow(_chunks, "h long, g long, row long, doc_id long, k long"), "chunks")
-    total = places.count()
+    places = C.stash(rows.mapInArrow(partial(_chunks, pieces=pieces), "h long, g long, row long, doc_id long, k long"), "chunks")
     first = F.min(F.struct("doc_id", "row", "k")).alias("first")
     again = C.stash(places.groupBy("h", "g").agg(first, F.count("*").alias("n")).where("n > 1"), "again")
     known = C.KeySet(again.select(F.col("h").alias("k")), again.count())
-    texts = rows.mapInArrow(partial(_texts, known=known.bits, log=known.log), "h long, g long, chunk string")
+    texts = rows.mapInArrow(partial(_texts, pieces=pieces, known=known.bits, log=known.log), "h long, g long, chunk string")
     # Equal chunks of a task meet before the shuffle; their text is the key.
     unlike = texts.groupBy("h", "g", "chunk").agg(F.lit(1).alias("one")).groupBy("h", "g").count().where("count > 1").select("h", "g")
     again = again.join(unlike, ["h", "g"], "left_anti").withColumn("key", F.struct("h", "g"))
-    keyed = places.withColumn("key", F.struct("h", "g")).drop("h", "g")
-    late = C.attach(keyed, C.stash(again.select("key", "first", "n"), "again"), "key", "n", total, "inner")
+    again = C.stash(again.select("key", "first", "n"), "again")
+    total = again.agg(F.sum("n")).first()[0] or 0
+    # Only pieces that may recur are shuffled.
+    keyed = (places if known.bits is None else places.where(known.maybe(F.col("h")))).withColumn("key", F.struct("h", "g")).drop("h", "g")
+    late = C.attach(keyed, again, "key", "n", total, "inner")
     late = late.where(F.struct("doc_id", "row", "k") != F.col("first")).groupBy("row").agg(F.collect_set("k").alias("gone"))
     late = C.stash(late, "late")
-    some = C.matching(rows, late, late.count(), "row").select("row", "text", "gone").mapInArrow(_cut, CUT)
+    some = C.matching(rows, late, late.count(), "row").select("row", "text", "gone").mapInArrow(partial(_cut, pieces=pieces), CUT)
     cut = C.stash(some.dropDuplicates(["row"]).drop("kept_text"), "cut")
     lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
     heads = C.stash(rows.select("row", "doc_id", lines.alias("lines"), F.sha2("text", 256).alias("sha")), "heads")
@@ -113,7 +131,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(C.read_table(spark, sf_dir, "documents"))
+    return line_dedup(C.read_table(spark, sf_dir, "documents"), windows)
 
 
 SQL: dict[str, str] = {}

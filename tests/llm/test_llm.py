@@ -362,6 +362,27 @@ def test_line_dedup(spark):
     assert got == lines_brute(many) and sum(x[2] for x in got) > 200
 
 
+def test_line_dedup_removes_every_repeated_run(spark, tmp_path):
+    r = random.Random(13)
+    fresh = lambda n: [words(6, r) for _ in range(n)]
+    runs = [fresh(n) for n in (2, 3, 5, 8) for _ in range(8)]
+    many = [(2 * i + k, "\n".join(fresh(1 + i % 3) + run + fresh(2))) for i, run in enumerate(runs) for k in (0, 1)]
+    many += [(900, "a\na\na"), (901, "x\nsame line\ny"), (902, "z\nsame line\nw"), (903, None), (904, ""), (7, many[7][1])]
+    first, want = {}, []
+    for i, t in sorted(set(many), key=lambda x: x[0]):
+        lines = (t or "").split("\n")
+        stay = [True] * len(lines)
+        for k in range(len(lines) - 1):
+            if first.setdefault(tuple(lines[k : k + 2]), (i, k)) != (i, k):
+                stay[k : k + 2] = [False, False]
+        kept = "\n".join(x for x, s in zip(lines, stay, strict=True) if s)
+        want += [(i, len(lines), stay.count(False), hashlib.sha256(kept.encode()).hexdigest())] * many.count((i, t))
+    spark.createDataFrame(many, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(line_dedup.op5_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_removed", "kept_sha256")
+    assert got == sorted(want, key=repr)
+    assert {x[0]: x[2] for x in got if x[0] % 2 and x[0] < 64} == {2 * i + 1: len(run) for i, run in enumerate(runs)}
+
+
 def test_quality(spark):
     r = random.Random(12)
     good = [(i, ". ".join(words(12, r).capitalize() for _ in range(20)) + ".") for i in range(60)]
