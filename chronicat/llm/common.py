@@ -87,6 +87,12 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def row_key():
+    """A well mixed long of doc_id and text: null and shared ids tell texts
+    apart, and rows with the same doc_id and text are one document."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.sha2(text_of(), 256))
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of text (one
     longer text stands alone)."""

@@ -219,9 +219,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that hold a copy of a test item; its columns."""
-    gone = C.stash(contaminated(docs, benchmark, threshold).select(F.xxhash64("doc_id").alias("k")).distinct(), "leaks")
-    rows = C.without(docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"))), gone, gone.count(), "__key")
+    """docs without those that hold a copy of a test item; its columns. A row
+    goes by its doc_id and text, as ids may be null or shared."""
+    key = C.row_key()
+    named = docs.select(key.alias("doc_id"), "text")
+    gone = C.stash(contaminated(named, benchmark, threshold).select(F.col("doc_id").alias("k")).distinct(), "leaks")
+    rows = C.without(docs.withColumn("__key", key), gone, gone.count(), "__key")
     return rows.select(*docs.columns)
 
 

@@ -61,14 +61,14 @@ def _majority(hashes: list[int]) -> int:
 
 def _fingerprints(batches, words: int):
     for b in batches:
-        ids, texts = b.column(0), b.column(1)
+        ids, texts, *carried = b.columns
         fps = np.fromiter((fingerprint(t.as_py(), words) for t in texts), dtype=np.uint64, count=len(texts))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64)), *carried], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_fingerprints, words=words), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, words: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the longs that are carried along: fp as a signed long."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried).mapInArrow(partial(_fingerprints, words=words), ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried)))
 
 
 def blocks(k: int, extra: int) -> list[int]:
@@ -176,27 +176,34 @@ def links(fps: DataFrame, k: int = 4, extra: int = 3) -> DataFrame:
     return sort.mapInArrow(partial(_links, k=k), "x long, y long")
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, k: int = 4) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 4, k: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
     """Every row of docs: doc_id, fp (signed), component_id, and size, the
-    number of rows with that fingerprint."""
-    prints = C.stash(fingerprints(docs, words), "prints")
+    number of rows with that fingerprint; then the longs carried along."""
+    prints = C.stash(fingerprints(docs, words, carried), "prints")
     total = prints.count()
     reps = C.stash(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "reps")
     near = C.stash(links(reps.select("fp"), k), "links").distinct()
     ends = near.join(reps.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x").join(reps.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
     root = C.components(ends)
     full = reps.join(root, reps.rep == root.node, "left").select("fp", "size", F.coalesce("root", "rep").alias("component_id"))
-    return C.attach(prints, full, "fp", "size", total, "inner").select("doc_id", "fp", "component_id", "size")
+    return C.attach(prints, full, "fp", "size", total, "inner").select("doc_id", "fp", "component_id", "size", *carried)
 
 
 def keep_one(docs: DataFrame, words: int = 4, k: int = 4) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; the
-    columns of docs. Repeated rows of that doc_id are reduced to one."""
-    gone = C.stash(simhash_groups(docs, words, k).select("doc_id", F.col("component_id")), "near")
-    drop = gone.where("doc_id <> component_id").select(F.xxhash64("doc_id").alias("k"))
-    rows = C.without(docs.withColumn("__key", F.xxhash64("doc_id")), drop, drop.count(), "__key")
-    if not gone.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
+    """One document of each component, that with the smallest doc_id (null is
+    the largest, equal ones go by a hash of the text); the columns of docs.
+    Rows with the same doc_id and text are one document: one of them stays."""
+    key = C.row_key()
+    # Components of keys, as doc_ids may be null or stand for several texts.
+    named = docs.select(key.alias("doc_id"), "text", F.col("doc_id").cast("long").alias("id"))
+    near = C.stash(simhash_groups(named, words, k, ("id",)).select(F.col("doc_id").alias("key"), "component_id", "id"), "near")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    first = C.stash(near.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    drop = C.attach(near, first, "component_id", "n", near.count(), "inner").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("k"))
+    drop = C.stash(drop, "drop")
+    rows = C.without(docs.withColumn("__key", key), drop, drop.count(), "__key")
+    if not near.groupBy("key").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["__key"])
     return rows.select(*docs.columns)
 
 

@@ -462,6 +462,17 @@ def test_pipeline(spark, tmp_path):
     assert check_packing(left, out) == 0
 
 
+def test_stages_keep_distinct_texts_with_null_or_shared_ids(spark):
+    r = random.Random(22)
+    a, b, c, d, e, item = (words(80, r) for _ in range(6))
+    texts = [(None, a), (None, b), (7, c), (7, d), (8, d + " x"), (None, e), (3, e), (9, b + " y"), (7, c), (None, a)]
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    assert rows(kept, "doc_id", "text") == sorted([(None, a), (7, c), (7, d), (3, e), (9, b + " y")], key=repr)
+    texts = [(None, a), (None, item), (7, c), (7, item + " z"), (8, d)]
+    kept = decontamination.keep_uncontaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert rows(kept, "doc_id", "text") == sorted([(None, a), (7, c), (8, d)], key=repr)
+
+
 def test_features_are_hashed_grams():
     import pyarrow as pa
 
