@@ -6,6 +6,7 @@ components."""
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,6 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +27,20 @@ SLICE_BYTES = 3 << 20
 HOT_KEYS = 1000
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_MADE: list[tuple] = []
+_MADE: dict[str, SparkSession] = {}
 
 
 def reachable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it
     (on a cluster it is installed, or given by --py-files), and keep Arrow
-    batches of whole texts small unless the session says otherwise."""
+    batches of whole texts small, by rows and by bytes, unless the session
+    says otherwise."""
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, "2000")
+    if spark.conf.get(BATCH_BYTES) in ("67108864", "67108864b", "64MB"):
+        spark.conf.set(BATCH_BYTES, "8388608")
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, (root, env.get("PYTHONPATH"))))
@@ -48,10 +52,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (as in
-    tests on one machine), a temporary one."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary one if all runs on one machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="chronicat-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -63,24 +69,39 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    _MADE[path] = spark
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stash`` returned and nothing needs any more."""
+    for path in (t._stashed for t in tables):
+        spark = _MADE.pop(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release() -> None:
     """Delete every table that ``stash`` wrote; results that were not yet
     written become unreadable."""
-    while _MADE:
-        spark, path = _MADE.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone, and with it the cluster's right to delete
+    for path, spark in list(_MADE.items()):
+        if spark.sparkContext._jsc is None:  # it has been stopped
             return
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        del _MADE[path]
+
+
+def _release_at_exit() -> None:
+    try:
+        release()
+    except Exception:  # the JVM may have ended before Python
+        return
 
 
-atexit.register(release)
+atexit.register(_release_at_exit)
 
 
 def text_of(column: str = "text"):
@@ -144,19 +165,14 @@ def rolling(h: np.ndarray, n: int, base: int) -> np.ndarray:
     return out
 
 
-def spread(df: DataFrame, minimum: int = 0) -> DataFrame:
-    """As is; only a scan with fewer partitions than cores is dealt anew."""
-    spark = df.sparkSession
-    want = max(minimum, spark.sparkContext.defaultParallelism)
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
-
-
 def attach(left: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
     """Join ``groups`` (one row per key, ``size`` = rows of ``left`` with that
     key) to ``left``. Keys with more than 1/HOT_KEYS of the rows go by a
     broadcast of at most HOT_KEYS rows (the sizes sum to ``total``), all others
     by an ordinary join, so no task gets a hot key."""
     limit = max(1000, total // HOT_KEYS)
+    if total <= limit:
+        return left.join(groups, key, how)
     hot, cold = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
     by_hot = left.join(F.broadcast(hot), key, "inner")
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
@@ -239,7 +255,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph given as pairs of longs, by
     alternating large-star and small-star steps. Returns (node, root) for every
     node that has an edge and isn't the smallest of its component."""
-    spark = edges.sparkSession
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     e, before = stash(e, "edges"), None
     while True:
@@ -251,11 +266,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         least = least.withColumn("m", F.least("u", "m"))
         large = attach(both, least, "u", "n", 2 * n, "inner").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = stash(large, "edges")  # read several times below
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = attach(large, least, "a", "n", n, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        e = stash(small, "edges")
+        old, e = e, stash(small, "edges")
+        discard(old, large)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
-
-def cached(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

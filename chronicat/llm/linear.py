@@ -7,7 +7,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -42,12 +42,13 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ftrl:
-    """FTRL-proximal: w = -(z - sign(z) l1) / ((beta + sqrt(n)) / alpha + l2)
-    where |z| > l1, else 0. Weight 0 is the bias, kept apart."""
+    """FTRL-proximal over ``size`` coordinates: w = -(z - sign(z) l1) / ((beta
+    + sqrt(n)) / alpha + l2) where |z| > l1, else 0. The bias stands behind
+    them."""
 
-    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = (np.zeros((1 << BITS) + 1, np.float32) for _ in range(2))
+        self.z, self.n = (np.zeros(size + 1, np.float32) for _ in range(2))
 
     def weights(self, at) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -55,36 +56,45 @@ class Ftrl:
         return np.where(np.abs(z) > self.l1, w, 0)
 
     def learn(self, at: np.ndarray, target: float) -> float:
-        """One step on a document with distinct features ``at``."""
-        at = np.append(at, 1 << BITS)
+        """One step on a document with distinct coordinates ``at``, the last
+        of them the bias."""
         w = self.weights(at)
         p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
         g = np.float32(p - target)
-        sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
+        n = self.n[at]
+        sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha
         self.z[at] += g - sigma * w
-        self.n[at] += g * g
+        self.n[at] = n + g * g
         return float(p)
 
 
 def _train(batches, epochs: int, options: dict):
-    model, seen = Ftrl(**options), []
+    """Weights of the features that LEAST documents hold, and of the bias,
+    which goes by feature 2**BITS. Only those features get a coordinate."""
+    parts, cuts, targets = [], [0], []
     for b in batches:
         for s in C.slices(b):
             doc, found = features(s.column("text"))
             both = np.unique(doc << BITS | found)
-            cuts = np.searchsorted(both, np.arange(len(s) + 1) << BITS)
-            target = np.asarray(s.column("target"))
-            seen += [((both[lo:hi] & ((1 << BITS) - 1)).astype(np.int32), float(t)) for lo, hi, t in zip(cuts[:-1], cuts[1:], target, strict=True)]
-    often = np.zeros(1 << BITS, np.int32)
-    for at, _ in seen:
-        often[at] += 1
-    seen = [(at[often[at] >= LEAST].astype(np.int64), target) for at, target in seen]
+            parts.append((both & ((1 << BITS) - 1)).astype(np.int32))
+            cuts += (cuts[-1] + np.searchsorted(both, np.arange(1, len(s) + 1) << BITS)).tolist()
+            targets += np.asarray(s.column("target")).tolist()
+    found = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    del parts
+    ids, times = np.unique(found, return_counts=True)
+    ids = ids[times >= LEAST]
+    places = np.searchsorted(ids, found).astype(np.int32)
+    learned = ids[np.minimum(places, len(ids) - 1)] == found if len(ids) else np.zeros(len(found), bool)
+    places, cuts = places[learned], np.concatenate(([0], np.cumsum(learned)))[cuts]
+    del found, learned
+    model = Ftrl(len(ids), **options)
+    seen = [(np.append(places[lo:hi], np.int32(len(ids))), t) for lo, hi, t in zip(cuts[:-1], cuts[1:], targets, strict=True)]
     for _ in range(epochs):
         for at, target in seen:
             model.learn(at, target)
-    w = model.weights(np.arange((1 << BITS) + 1)).astype(np.float32)
+    w = model.weights(slice(None)).astype(np.float32)
     at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], names=["feature", "weight"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, 1 << BITS)[at].astype(np.int32)), pa.array(w[at])], names=["feature", "weight"])
 
 
 def train(sample: DataFrame, epochs: int = 4, **options) -> tuple[np.ndarray, np.ndarray]:
@@ -95,30 +105,44 @@ def train(sample: DataFrame, epochs: int = 4, **options) -> tuple[np.ndarray, np
     return np.asarray(rows["feature"]), np.asarray(rows["weight"])
 
 
+class Scorer:
+    """Scores of texts by sparse weights. ``some`` tells by the low bits which
+    features may have one; those are looked up by bisection."""
+
+    LOW = (1 << 18) - 1
+
+    def __init__(self, at: np.ndarray, w: np.ndarray):
+        order = np.argsort(at)
+        self.at, self.w = at[order].astype(np.int64), w[order]
+        self.bias = float(self.w[-1]) if len(at) and self.at[-1] == 1 << BITS else 0.0
+        self.some = np.zeros(self.LOW + 1, bool)
+        self.some[self.at[self.at < 1 << BITS] & self.LOW] = True
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        doc, found = features(texts)
+        may = np.flatnonzero(self.some[found & self.LOW])
+        doc, found = doc[may], found[may]
+        place = np.searchsorted(self.at, found)
+        hit = self.at[np.minimum(place, len(self.at) - 1)] == found if len(found) else np.zeros(0, bool)
+        both = np.unique(doc[hit] << BITS | place[hit])  # presence, not counts
+        total = np.bincount(both >> BITS, self.w[both & ((1 << BITS) - 1)], len(texts)) + self.bias
+        return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
 _READY: list = [None, None]
 
 
-def _dense(model) -> np.ndarray:
-    """The broadcast weights as a table, kept by the worker for its next task."""
+def _scorer(model) -> Scorer:
+    """Made of the broadcast weights, kept by the worker for its next task."""
     if _READY[0] is not model.value:
-        at, w = model.value
-        dense = np.zeros((1 << BITS) + 1, np.float32)
-        dense[at] = w
-        _READY[:] = model.value, dense
+        _READY[:] = model.value, Scorer(*model.value)
     return _READY[1]
 
 
 def _score(batches, model):
-    dense = _dense(model)
     for b in batches:
-        parts = []
-        for s in C.slices(b):
-            doc, found = features(s.column("text"))
-            hit = np.flatnonzero(dense[found])
-            both = np.unique(doc[hit] << BITS | found[hit])  # presence, not counts
-            total = np.bincount(both >> BITS, dense[both & ((1 << BITS) - 1)], len(s)) + dense[1 << BITS]
-            parts.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-        score = np.concatenate(parts) if parts else np.zeros(0)
+        scores = [_scorer(model)(s.column("text")) for s in C.slices(b)]
+        score = np.concatenate(scores) if scores else np.zeros(0)
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "score"])
 
 
@@ -128,3 +152,16 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(weights)
     schema = StructType([*docs.schema.fields[:-1], StructField("score", DoubleType())])
     return docs.mapInArrow(partial(_score, model=model), schema)
+
+
+def score_of(text: Column, weights: tuple[np.ndarray, np.ndarray], spark: SparkSession) -> Column:
+    """The score of a text column; only that column goes to Python."""
+    model = spark.sparkContext.broadcast(weights)
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        scores = [_scorer(model)(s.column("text")) for s in C.slices(batch)]
+        return pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
+
+    return scored(text)

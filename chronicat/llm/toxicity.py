@@ -3,8 +3,10 @@ skip-grams. L1 leaves few weights, which are broadcast to score every text.
 
 Defined cases: null text is empty and scores the bias; a document with several
 labels counts as toxic if one says so; labels without a document and null
-labels teach nothing; without any label every score is next to 0;
-repeated rows are scored each; further columns are ignored.
+labels teach nothing; of several texts of one doc_id the least is learned;
+without any label every score is next to 0; ties of the sample's hash go by
+doc_id; repeated rows are scored each; very long texts are scored whole; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
     toxic = known.where("target = 1").orderBy("choice", "doc_id").limit(max_train // 3)
     some = toxic.unionByName(known.where("target = 0").orderBy("choice", "doc_id").limit(max_train - max_train // 3))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_of().alias("text"))
-    sample = texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    sample = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "target").agg(F.min("text").alias("text"))
     return sample.select(F.xxhash64(F.lit("order"), "doc_id").alias("order"), "text", "target")
 
 
@@ -56,10 +58,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 
 def keep_clean(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """docs without those that the model rejects; its columns."""
-    own = docs.columns
-    packed = docs.select(F.struct(*own).alias("row"), C.text_of().alias("text"))
-    out = linear.score(packed, fit(docs, labels, max_train))
-    return out.where(F.col("score") < THRESHOLD).select(*[F.col("row").getField(c).alias(c) for c in own])
+    score = linear.score_of(C.text_of(), fit(docs, labels, max_train), docs.sparkSession)
+    return docs.where(score < THRESHOLD)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
