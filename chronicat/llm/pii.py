@@ -1,16 +1,24 @@
 """PII: format-preserving Feistel pseudonyms, in DataFrame functions only.
 
 Numbers and dates are found, validated and replaced by a keyed permutation of
-their own format, so equal values stay linked across documents and nothing can
-be read back without the key. Card numbers keep their length and a valid check
-digit; phone numbers keep country code and layout; IPv4 addresses stay
-addresses; dates stay dates between 1700 and 2099, in the same notation;
-social-security numbers keep their layout. Of mail addresses the local part is
-permuted letter for letter and digit for digit; access keys and
-``password=`` values are replaced by a keyed digest of the same length.
-
-Defined cases: null text stays null; values that fail validation stay; repeated
-rows get the same text; further columns are ignored.
+their own format, so equal values stay linked across documents, different ones
+stay apart, and nothing can be read back without the key. The domains:
+
+- card numbers: the digits between the first and the check digit; length, layout
+  and a valid check digit stay;
+- phone numbers: area 200 to 999 and, apart from each other, exchanges from 200
+  on and below; country code and layout stay;
+- social-security numbers: area 001 to 899 without 666, group 01 to 99, serial
+  0001 to 9999;
+- IPv4 addresses: all; dates: 1700-01-01 to 2099-12-31, in the same notation;
+- local parts of mail addresses, access keys and ``password=`` values: each
+  letter or digit within its class (a-z, A-Z, 0-9), all of them depending on
+  all others; other characters and the mail domain stay.
+
+Defined cases: null text stays null; values that fail validation stay; where
+two patterns match at one place the first of ANY counts; repeated rows get the
+same text; very long texts are searched whole; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +29,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ROUNDS = 8
-KEY = "example key; give your own"
+#: The setting that op7 takes its key from, and the key of tests and checks.
+KEY_CONF, EXAMPLE_KEY = "spark.chronicat.pii.key", "example key; give your own"
 
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}"
 PHONE = r"(?<![\w+])(?:\+1 ?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[-. ])\d{3}[-. ]\d{4}(?!\d)"
@@ -97,14 +106,30 @@ def card(key: str, m: Column) -> Column:
 
 
 def phone(key: str, m: Column) -> Column:
+    """Ten digits; before them a country code may stand, which stays."""
     d = digits_of(m)
-    # The leading area digit and the country code stay; nine digits are moved.
-    kept = F.length(d) - 9
-    return poured(m, F.concat(F.substr(d, F.lit(1), kept), permuted(key, "phone", F.substr(d, kept + 1, F.lit(9)))))
+    own = F.right(d, F.lit(10))
+    area, exchange = F.substring(own, 1, 3).cast("long") - 200, F.substring(own, 4, 3).cast("long")
+    line = F.substring(own, 7, 4).cast("long")
+
+    def moved(kind: str, least: int, many: int) -> Column:
+        out = feistel(key, F.lit(kind), (area * many + exchange - least) * 10000 + line, F.lit(800), F.lit(many * 10000))
+        rest = F.pmod(out, F.lit(many * 10000))
+        parts = F.floor(out / (many * 10000)) + 200, F.floor(rest / 10000) + least, F.pmod(rest, F.lit(10000))
+        return F.concat(*[F.lpad(x.cast("long").cast("string"), n, "0") for x, n in zip(parts, (3, 3, 4), strict=True)])
+
+    new = F.when(exchange >= 200, moved("phone", 200, 800)).otherwise(moved("phone low", 0, 200))
+    return poured(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), new))
 
 
 def ssn(key: str, m: Column) -> Column:
-    return poured(m, permuted(key, "ssn", digits_of(m)))
+    d = digits_of(m)
+    area, group, serial = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 2).cast("long"), F.substring(d, 6, 4).cast("long")
+    rank = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
+    out = feistel(key, F.lit("ssn"), rank, F.lit(898 * 99), F.lit(9999))
+    first = F.floor(out / (99 * 9999)) + 1
+    parts = F.when(first >= 666, first + 1).otherwise(first), F.pmod(F.floor(out / 9999), F.lit(99)) + 1, F.pmod(out, F.lit(9999)) + 1
+    return F.concat_ws("-", *[F.lpad(x.cast("long").cast("string"), n, "0") for x, n in zip(parts, (3, 2, 4), strict=True)])
 
 
 def address(key: str, m: Column) -> Column:
@@ -124,11 +149,19 @@ def date(key: str, m: Column) -> Column:
 
 
 def shaped(key: str, kind: str, m: Column) -> Column:
-    """Letters and digits replaced by keyed ones of the same class; the keyed
-    digest of the whole decides, so equal values stay equal."""
-    chars = F.split(m, "")
-    alike = lambda c, i, first, n: F.char(F.lit(first) + F.pmod(prf(key, F.lit(kind), m, i), F.lit(n)))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[a-z]$"), alike(c, i, 97, 26)).when(c.rlike("^[A-Z]$"), alike(c, i, 65, 26)).when(c.rlike("^[0-9]$"), alike(c, i, 48, 10)).otherwise(c)), "")
+    """A permutation of the strings of one layout: letters and digits at even
+    places are shifted within their class by keyed numbers of those at odd
+    places, and the other way round, in turn."""
+
+    def moved(c: Column, by: Column) -> Column:
+        within = lambda least, n: F.char(F.lit(least) + F.pmod(F.ascii(c) - least + by, F.lit(n)))
+        return F.when(c.between("a", "z"), within(97, 26)).when(c.between("A", "Z"), within(65, 26)).when(c.between("0", "9"), within(48, 10)).otherwise(c)
+
+    def turn(chars: Column, i: Column) -> Column:
+        other = F.array_join(F.filter(chars, lambda c, at: F.pmod(at + i, F.lit(2)) == 1), "")
+        return F.transform(chars, lambda c, at: F.when(F.pmod(at + i, F.lit(2)) == 1, c).otherwise(moved(c, prf(key, F.lit(kind), F.length(m), i, at, other))))
+
+    return F.array_join(F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), F.split(m, ""), turn), "")
 
 
 def email(key: str, m: Column) -> Column:
@@ -150,8 +183,11 @@ def pseudonym(key: str, m: Column) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text with pseudonyms, n_found of every row."""
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, text with pseudonyms, n_found of every row. Who has the key can
+    undo the pseudonyms."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col("text").cast("string")
     may = text.rlike(NEEDED)
     found = F.when(may, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
@@ -164,7 +200,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(C.read_table(spark, sf_dir, "documents"))
+    return pseudonymised(C.read_table(spark, sf_dir, "documents"), spark.conf.get(KEY_CONF, EXAMPLE_KEY))
 
 
 SQL: dict[str, str] = {}

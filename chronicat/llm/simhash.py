@@ -7,14 +7,16 @@ the threshold k need no look. The range join runs over a grid: the segments are
 dealt to k + r blocks; where at most k segments differ, at least r blocks agree
 in every coordinate, so a vector is put in one cell for every choice of r
 blocks, and pairs within k share a cell. Pairs of a cell pass the Manhattan
-bound first and the exact Hamming distance then. Cells with many members are
-cut into chunks whose pairs are compared in separate tasks, and each task tells
+bound first and the exact Hamming distance then. The more fingerprints there
+are, the more blocks have to agree, so that cells stay small; any choice finds
+the same pairs. Cells with many members are cut into chunks whose pairs are compared in separate tasks, and each task tells
 only a spanning star of what it linked, so neither memory nor output grows with
 the square of a group.
 
 Defined cases: null and empty texts, and texts of white space only, have
 fingerprint zero and are linked; fewer words than a shingle make one shingle;
-repeated rows link; an empty table gives an empty result; further columns are
+repeated rows link; a bit set in exactly half the shingles is 0; very long texts
+are hashed whole; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SEGMENTS, LOW_BITS = 32, 0x5555555555555555
 #: Fingerprints of one cell that one task compares with each other.
 CHUNK = 2048
+#: Work of comparing two fingerprints, that of moving one to a cell being 1.
+PAIR = 0.01
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -97,10 +102,25 @@ def cells(fps: DataFrame, k: int, extra: int) -> DataFrame:
     return counts.select("fp", at.alias("c")).select("c.grid", "c.cell", "fp")
 
 
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (each place's least fellow, flat) after a[i] and b[i] are made
+    fellows."""
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def link(keys: np.ndarray, fps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within k of each other among neighbours of equal key (keys are
-    sorted): as a star per component, fp -> representative."""
-    at, shift, left, right = np.arange(len(fps) - 1), 1, [], []
+    sorted): as a star per component, fp -> representative. Pairs are joined
+    as they are found, so memory grows with the number of fingerprints only."""
+    at, shift, root = np.arange(len(fps) - 1), 1, np.arange(len(fps))
     half = fps >> np.uint64(1)
     unary = ((fps | half) & np.uint64(LOW_BITS)) | ((fps & half & np.uint64(LOW_BITS)) << np.uint64(1))
     while len(at):
@@ -108,30 +128,14 @@ def link(keys: np.ndarray, fps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
         at = at[keys[at] == keys[at + shift]]
         near = at[np.bitwise_count(unary[at] ^ unary[at + shift]) <= k]  # Manhattan distance of the counts
         near = near[np.bitwise_count(fps[near] ^ fps[near + shift]) <= k]
-        left.append(fps[near])
-        right.append(fps[near + shift])
+        root = _join(root, near, near + shift)
         shift += 1
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
-    if not len(a):
-        return a, b
-    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-    i, j, label = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    far = label != np.arange(len(nodes))
-    return nodes[far], nodes[label[far]]
+    far = root != np.arange(len(fps))
+    return fps[far], fps[root[far]]
 
 
 def _links(batches, k: int):
     """Batches come sorted by (grid, cell, part); a run may go on in the next."""
-    held: list[np.ndarray] = []
 
     def told(key, fp):
         a, b = link(key, fp, k)
@@ -150,13 +154,22 @@ def _links(batches, k: int):
                 key, fp = key[cut:], fp[cut:]
     if len(key):
         yield told(key, fp)
-    del held
 
 
-def links(fps: DataFrame, k: int = 4, extra: int = 3) -> DataFrame:
-    """(x, y) over distinct fingerprints: a graph with the same components as
+def agreeing(n: int, k: int) -> int:
+    """How many blocks shall agree for n fingerprints: the least estimated
+    work. More blocks make more rows (one per grid), but larger cells of the
+    space, of about 1.5 bits a segment, hold fewer fingerprints each; PAIR is
+    the cost of a comparison, that of a row being 1."""
+    work = lambda r: comb(k + r, r) * (1 + PAIR * n / 2 ** (1.5 * SEGMENTS * r / (k + r)))
+    return min(range(3, 13), key=work)
+
+
+def links(fps: DataFrame, n: int, k: int = 4, extra: int | None = None) -> DataFrame:
+    """(x, y) over n distinct fingerprints: a graph with the same components as
     all pairs at Hamming distance up to k."""
     spark = fps.sparkSession
+    extra = extra or agreeing(n, k)
     grid = cells(fps, k, extra)
     crowded = C.stash(grid.groupBy("grid", "cell").count().where(F.col("count") > CHUNK), "cells")
     n = crowded.count()
@@ -182,7 +195,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, k: int = 4, carried: tuple[s
     prints = C.stash(fingerprints(docs, words, carried), "prints")
     total = prints.count()
     reps = C.stash(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "reps")
-    near = C.stash(links(reps.select("fp"), k), "links").distinct()
+    near = C.stash(links(reps.select("fp"), reps.count(), k), "links").distinct()
     ends = near.join(reps.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x").join(reps.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
     root = C.components(ends)
     full = reps.join(root, reps.rep == root.node, "left").select("fp", "size", F.coalesce("root", "rep").alias("component_id"))
