@@ -168,10 +168,23 @@ def test_substring_dedup(spark, docs, monkeypatch):
         assert run(d) == removed(many)
     finally:
         spark.conf.set(C.BATCH, "2000")
+    split = {i: t.split() for i, t in many}
+    parse = substring_dedup.factors(d).collect()
+    for x in parse:  # a factor is what its reference says, and that comes first
+        assert split[x.doc_id][x.start : x.start + x.length] == split[x.source][x.source_start : x.source_start + x.length] and x.length >= 20
+        assert (x.source, x.source_start) < (x.doc_id, x.start)
+    covered = {(x.doc_id, k) for x in parse for k in range(x.start, x.start + x.length)}
+    assert {i: sum(k in covered for k in ((i, j) for j in range(len(w)))) for i, w in split.items()} == {x[0]: x[2] for x in removed(many)}
     texts = {r.doc_id: r.text for r in substring_dedup.strip_repeats(docs).collect()}
     assert texts[3] == "one" and texts[11] == ""
 
 
+def test_windows_of_equal_hash_are_told_apart():
+    codes = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 1, 2, 4])
+    at, w = np.array([0, 3, 6, 9]), np.zeros(4, np.uint64)  # all hashes equal
+    assert substring_dedup._first(np.zeros(4, int), w, codes, at, 3).tolist() == [0, 1, 0, 1]
+
+
 def check_packing(texts, pieces):
     by_doc, by_seq = {}, {}
     for p in pieces:
