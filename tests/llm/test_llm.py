@@ -46,18 +46,38 @@ def rows(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()), key=repr)
 
 
-def test_cuckoo_filter_grows_and_deletes():
+def test_cuckoo_index_grows_settles_and_deletes():
     index = exact_dedup.DigestIndex(16)
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
-    assert not any(index.add(d, i) for i, d in enumerate(digests)) and index.resized > 0
-    assert all(index.add(d, -1) for d in digests[:100]) and index.keys[digests[0]] == (-1, 2)
-    for d in digests[:100]:
-        assert index.remove(d, 2) and not index.remove(d)
-    assert all(index.short(d) in index.filter for d in digests[100:])
-    assert index.filter.used == 2900
+    unsure = sum(index.add(d, i) for i, d in enumerate(digests))
+    assert unsure < 30 and index.resized > 0  # the filter alone says new to nearly all
+    assert all(index.add(d, -1) for d in digests[:100])
+    index.settle()
+    assert sorted(index.stored) == sorted([d, -1 if i < 100 else i, 2 if i < 100 else 1] for i, d in enumerate(digests))
+    assert index.remove({d: 1 for d in digests[:50]}) == 0 and index.remove({d: 2 for d in digests[50:100]}) == 50
+    assert index.remove({d: 1 for d in digests[:50]}) == 50 and index.remove({d: 1 for d in digests[:100]}) == 0
+    assert sorted(index.stored) == sorted([d, i, 1] for i, d in enumerate(digests) if i >= 100)
+    assert all(index.short(d) in index.filter for d in digests[100:]) and index.filter.used == 2900
     assert sum(index.short(hashlib.sha256(f"x{i}".encode()).digest()) in index.filter for i in range(3000)) < 30
 
 
+def test_exact_dedup_takes_rows_back(spark):
+    texts = [(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "c"), (6, "c"), (None, "a"), (None, "d"), (None, "d")]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    back = spark.createDataFrame([(1,), (4,), (99,), (None,)], "doc_id long")
+    got = rows(exact_dedup.exact_dedup(d, back), "doc_id", "keep_id", "group_size", "kept")
+    want = [(1, 2, 3, False), (2, 2, 3, True), (3, 2, 3, False), (None, 2, 3, False), (4, None, 0, False), (5, 5, 2, True), (6, 5, 2, False), (None, None, 2, True), (None, None, 2, True)]
+    assert got == sorted(want, key=repr)
+    assert rows(exact_dedup.keep_first(d, back), "doc_id", "text") == sorted([(2, "a"), (5, "c"), (None, "d")], key=repr)
+
+
+def test_exact_dedup_splits_a_digest_with_two_contents(spark):
+    texts = [(1, "aa"), (2, "ab"), (3, "aa"), (4, "ab"), (5, "b"), (6, "b"), (7, "c")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    weak = lambda content: F.unhex(F.sha2(F.substring(content, 1, 1), 256))
+    assert rows(exact_dedup.exact_dedup(d, hashed=weak), "doc_id", "keep_id", "group_size") == [(1, 1, 2), (2, 2, 2), (3, 1, 2), (4, 2, 2), (5, 5, 2), (6, 5, 2), (7, 7, 1)]
+
+
 def test_exact_dedup(docs):
     groups = {}
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
