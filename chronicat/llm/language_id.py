@@ -5,11 +5,15 @@ The probability of a word is the sum over all its segmentations into pieces,
 by a forward pass; expectation-maximisation (forward-backward) fits the pieces
 on a bounded sample per language. A text's score for a language is the product
 over its words. Words are the letters of white-space tokens, in lower case,
-behind a word-start mark; longer ones are cut every 24 letters.
+behind a word-start mark; one of more than 24 characters counts as several
+words of that length, so that no product underflows.
 
 Defined cases: ``und`` and score 0 for null texts and texts without a letter,
-and everywhere if no language can be learned; repeated rows are scored each;
-further columns are ignored.
+and everywhere if no language can be learned; of languages beyond MAX_LANGS
+those with the fewest documents aren't learned (ties by name); of equal scores
+the first name wins; repeated rows are scored each; very long texts are scored
+whole, by parts; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +29,19 @@ from . import common as C
 
 #: Documents of each language that the model is fitted on, by hash of doc_id.
 MAX_TRAIN = 400
-CUT, LONGEST, ROUNDS, FLOOR = 24, 8, 3, 1e-7
+#: Languages that are learned at most, those with most documents: bounds the
+#: broadcast, whatever the column holds.
+MAX_LANGS = 200
+CUT, ROUNDS, FLOOR = 24, 3, 1e-7
+#: Numbers (words x languages) that a worker holds about.
+CELLS = 3 << 20
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Vocabulary:
-    """Pieces of up to LONGEST characters, found by hash. Piece n is any other
-    single character; the last row, of probability zero, is no piece."""
+    """All pieces of letters (and the mark), found by hash. Piece n is any
+    other single character; the last row, of probability zero, is no piece."""
 
     def __init__(self, model: str):
         import public_tokenizers as P
@@ -40,9 +49,9 @@ class Vocabulary:
 
         coder = sentencepiece.SentencePieceProcessor(model_file=P.path(model))
         pieces = {coder.id_to_piece(i).lower() for i in range(coder.get_piece_size()) if not (coder.is_control(i) or coder.is_unknown(i) or coder.is_byte(i))}
-        self.pieces = sorted(p for p in pieces if 0 < len(p) <= LONGEST)
-        self.n, self.tables = len(self.pieces), {}
-        for size in range(1, LONGEST + 1):
+        self.pieces = sorted(p for p in pieces if p.removeprefix(MARK).isalpha() or p == MARK)
+        self.n, self.tables, self.longest = len(self.pieces), {}, max(map(len, self.pieces))
+        for size in range(1, self.longest + 1):
             own = [(i, p) for i, p in enumerate(self.pieces) if len(p) == size]
             if own:
                 h = C.rolling(np.array([[ord(c) for c in p] for _, p in own], np.uint64).ravel(), size, int(BASE))[::size]
@@ -56,7 +65,7 @@ class Vocabulary:
         codes, out = letters.astype(np.uint64), []
         h = np.zeros((words, length), np.uint64)
         with np.errstate(over="ignore"):
-            for size in range(1, min(LONGEST, length) + 1):
+            for size in range(1, min(self.longest, length) + 1):
                 h = h[:, : length - size + 1] * BASE + codes[:, size - 1 :]
                 table, ids = self.tables.get(size, (np.zeros(1, np.uint64), np.array([self.n + 1])))
                 at = np.minimum(np.searchsorted(table, h), len(table) - 1)
@@ -105,12 +114,12 @@ def chunks(word: str) -> list[str]:
     return [w[i : i + CUT] for i in range(0, len(w), CUT)] if len(w) > 1 else []
 
 
-def _by_length(words: list[str]):
+def _by_length(words: list[str], most: int = 20_000):
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     for length in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == length)
-        for lo in range(0, len(at), 20_000):
-            some = at[lo : lo + 20_000]
+        for lo in range(0, len(at), most):
+            some = at[lo : lo + most]
             yield some, np.frombuffer("".join(words[i] for i in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), length)
 
 
@@ -151,7 +160,7 @@ def _fit(batches, model: str):
         p[:, 0] = total / max(total.sum(), 1e-300) + FLOOR
         p[v.n + 1] = 0
         p /= p.sum()
-    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([p[:, 0].tolist()], pa.list_(pa.float64()))], names=["lang", "p"])
+    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([p[:, 0].tolist()], pa.list_(pa.float32()))], names=["lang", "p"])
 
 
 def held_out(column: str = "doc_id"):
@@ -163,17 +172,21 @@ def fit(docs: DataFrame, model: str = "piece_bpe_32k.model", max_train: int = MA
     from the words of at most max_train documents."""
     from pyspark.sql import Window
 
-    ids = docs.where("lang is not null and text is not null").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("doc_id").alias("order"))
-    # Of the smallest hashes, some of every slot; a language is spread over 64.
-    slot = F.pmod("order", F.lit(64))
-    first = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang", slot).orderBy("order", "doc_id"))).where(F.col("k") <= max_train)
-    some = first.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).where(F.col("k") <= max_train)
+    ids = docs.where("lang is not null and text is not null").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("order"))
+    ids = C.stash(ids, "labelled")
+    learned = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
+    some = ids.join(F.broadcast(learned), "lang")
+    # The smallest hashes, by tournament: no task gets more than 8 times
+    # max_train rows of a language, but for the first round's 512 slots.
+    for slots in (512, 64, 8, 1):
+        w = Window.partitionBy("lang", F.pmod("order", F.lit(slots))).orderBy("order", "doc_id")
+        some = some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= max_train)
     some = some.select("doc_id", F.col("lang").alias("learn")).distinct()
-    sample = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang"), C.text_of().alias("text")).join(F.broadcast(some), "doc_id").where("lang = learn")
+    sample = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), C.text_of().alias("text")).join(F.broadcast(some), "doc_id").where("lang = learn")
     words = sample.select("lang", "text").mapInArrow(_count, "lang string, word string, times long")
     words = words.groupBy("lang", "word").agg(F.sum("times").alias("times"))
-    rows = words.groupBy("lang").applyInArrow(lambda t: _fit_lang(t, model), "lang string, p array<double>").orderBy("lang").collect()  # a row per language
-    return [r["lang"] for r in rows], np.array([r["p"] for r in rows]).T
+    rows = words.groupBy("lang").applyInArrow(lambda t: _fit_lang(t, model), "lang string, p array<float>").orderBy("lang").collect()  # MAX_LANGS rows at most
+    return [r["lang"] for r in rows], np.array([r["p"] for r in rows], np.float32).T
 
 
 def _fit_lang(table, model):
@@ -186,15 +199,15 @@ _ROWS: list = [None, None]
 
 def _score(batches, fitted, model: str):
     langs, p = fitted.value
-    v = vocabulary(model)
+    p, v = p.astype(np.float64), vocabulary(model)
     if _ROWS[0] is not fitted.value:
         _SEEN.clear()
-        _ROWS[:] = fitted.value, np.zeros((1 << 16, len(langs)))
+        _ROWS[:] = fitted.value, np.zeros((1 << 12, len(langs)))
     for b in batches:
         pred, score = [], []
-        for s in C.slices(b):
+        for s in C.slices(b, "text", C.SLICE_BYTES * 4 // max(4, len(langs))):
             offsets, codes, words = C.split_words(s.column("text"))
-            if len(_SEEN) + len(words) > 600_000:
+            if len(_SEEN) + len(words) > CELLS // len(langs):
                 _SEEN.clear()
             new = [w for w in words if w not in _SEEN]
             if new:
@@ -202,7 +215,7 @@ def _score(batches, fitted, model: str):
                 flat = [c for x in parts for c in x]
                 lengths = np.array([len(x) for x in parts])
                 log = np.zeros((len(flat) + 1, len(langs)))
-                for at, letter in _by_length(flat):
+                for at, letter in _by_length(flat, max(100, CELLS // (2 * CUT * len(langs)))):
                     log[at] = np.log(np.maximum(forward(v.lookup(letter), p)[:, -1], 1e-300))
                 total = np.cumsum(np.concatenate((np.zeros((1, len(langs))), log[:-1])), axis=0)
                 ends = np.cumsum(lengths)
@@ -213,8 +226,11 @@ def _score(batches, fitted, model: str):
                 _ROWS[1][base : base + len(new)] = value
                 _SEEN.update(zip(new, range(base, base + len(new)), strict=True))
             at = np.fromiter((_SEEN[w] for w in words), np.int64, len(words))[codes] if words else codes
-            rows = np.concatenate((np.zeros((1, len(langs))), np.cumsum(_ROWS[1][at], axis=0)))
-            sums = rows[offsets[1:]] - rows[offsets[:-1]]
+            sums, doc = np.zeros((len(s), len(langs))), np.repeat(np.arange(len(s)), np.diff(offsets))
+            for lo in range(0, len(at), CELLS // len(langs)):
+                part = doc[lo : lo + CELLS // len(langs)]
+                edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                sums[part[edge]] += np.add.reduceat(_ROWS[1][at[lo : lo + len(part)]], edge)
             best = sums.argmax(axis=1)
             share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
             some = np.asarray(s.column("letters").fill_null(False))
@@ -228,7 +244,7 @@ def language_id(docs: DataFrame, model: str = "piece_bpe_32k.model", max_train:
     langs, p = fit(docs, model, max_train)
     if not langs:
         return docs.select("doc_id", held_out().alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    fitted = docs.sparkSession.sparkContext.broadcast((langs, p))  # languages x vocabulary
+    fitted = docs.sparkSession.sparkContext.broadcast((langs, p))  # at most MAX_LANGS x vocabulary
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), C.text_of().alias("text"))
     return rows.mapInArrow(partial(_score, fitted=fitted, model=model), "doc_id long, held_out boolean, lang_pred string, score double")
 

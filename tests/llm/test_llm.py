@@ -299,9 +299,9 @@ def test_forward_sums_all_segmentations():
     ids = {x: i for i, x in enumerate(v.pieces)}
 
     def brute(w):
-        return 1.0 if not w else sum(p[ids.get(w[:k], v.n if k == 1 else v.n + 1), 0] * brute(w[k:]) for k in range(1, min(8, len(w)) + 1))
+        return 1.0 if not w else sum(p[ids.get(w[:k], v.n if k == 1 else v.n + 1), 0] * brute(w[k:]) for k in range(1, min(v.longest, len(w)) + 1))
 
-    for w in ("▁the", "▁walking", "qzxj", "▁中文"):
+    for w in ("▁the", "▁walking", "qzxj", "▁中文", "▁international"):
         found = v.lookup(np.array([[ord(c) for c in w]], np.uint32))
         assert language_id.forward(found, p)[0, -1, 0] == pytest.approx(brute(w))
         uses = language_id.expected(found, p, np.ones(1))
@@ -368,31 +368,51 @@ def test_alignment_side_by_side():
         assert (decontamination.shared(np.array(item), padded) >= got).all()
 
 
+def chunk_edges(lines):
+    """Chunk boundaries by the definition, without numpy."""
+    import xxhash
+
+    full, out = (1 << 64) - 1, [0]
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    h = [xxhash.xxh64_intdigest(x.encode()) for x in lines]
+    for k in range(len(lines)):
+        rolled = h[0] if k == 0 else (h[k - 1] * 0x9E3779B97F4A7C15 + h[k]) & full
+        if mixed(rolled) % 3 == 0 and k + 1 - out[-1] >= 2:
+            out.append(k + 1)
+    return out if out[-1] == len(lines) else [*out, len(lines)]
+
+
 def lines_brute(texts):
     first, out = {}, []
     for i, t in sorted(set(texts), key=lambda x: x[0]):
-        parts = line_dedup.chunked(t or "")
-        assert "\n".join(c for _, _, c in parts) == (t or "")
-        kept, gone = [], 0
-        for _, n, c in parts:
-            if n >= 2 and c in first:
-                gone += n
+        lines, kept, gone = (t or "").split("\n"), [], 0
+        edges = chunk_edges(lines)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            c = tuple(lines[lo:hi])
+            if len(c) >= 2 and c in first:
+                gone += len(c)
             else:
-                kept.append(c)
-                if n >= 2:
-                    first[c] = i
-        out += [(i, len((t or "").split("\n")), gone, hashlib.sha256("\n".join(kept).encode()).hexdigest())] * texts.count((i, t))
+                kept += c
+                first[c] = i
+        out += [(i, len(lines), gone, hashlib.sha256("\n".join(kept).encode()).hexdigest())] * texts.count((i, t))
     return sorted(out, key=repr)
 
 
-def test_line_dedup(spark):
+def test_line_chunks(spark, monkeypatch):
     r = random.Random(11)
     block = [words(6, r) for _ in range(12)]
     many = [(i, "\n".join([words(5, r) for _ in range(r.randrange(6))] + block[r.randrange(3) :] + [words(4, r)])) for i in range(40)]
-    many += [(100, None), (101, ""), (102, "\n\n\n\n"), (103, "\n\n\n\n"), (5, many[5][1])]
+    many += [(100, None), (101, ""), (102, "\n\n\n\n"), (103, "\n\n\n\n"), (5, many[5][1]), (104, "\n".join(words(3, r) for _ in range(9000)))]
     d = spark.createDataFrame(many, "doc_id long, text string").repartition(4)
-    got = rows(line_dedup.line_dedup(odd(d)), "doc_id", "n_lines", "n_removed", "kept_sha256")
+    got = rows(line_dedup.line_dedup(odd(d), seams=False), "doc_id", "n_lines", "n_removed", "kept_sha256")
     assert got == lines_brute(many) and sum(x[2] for x in got) > 200
+    monkeypatch.setattr(C.KeySet, "LIMIT", 1)  # beyond the broadcast: joins
+    assert rows(line_dedup.line_dedup(d, seams=False), "doc_id", "n_lines", "n_removed", "kept_sha256") == got
 
 
 def test_line_dedup_removes_every_repeated_run(spark, tmp_path):
@@ -400,6 +420,7 @@ def test_line_dedup_removes_every_repeated_run(spark, tmp_path):
     fresh = lambda n: [words(6, r) for _ in range(n)]
     runs = [fresh(n) for n in (2, 3, 5, 8) for _ in range(8)]
     many = [(2 * i + k, "\n".join(fresh(1 + i % 3) + run + fresh(2))) for i, run in enumerate(runs) for k in (0, 1)]
+    many += [(2000 + i, "\n".join(fresh(2) + runs[24] + runs[25] + fresh(1))) for i in range(3)]  # whole chunks and seams
     many += [(900, "a\na\na"), (901, "x\nsame line\ny"), (902, "z\nsame line\nw"), (903, None), (904, ""), (7, many[7][1])]
     first, want = {}, []
     for i, t in sorted(set(many), key=lambda x: x[0]):
@@ -414,6 +435,8 @@ def test_line_dedup_removes_every_repeated_run(spark, tmp_path):
     got = rows(line_dedup.op5_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_removed", "kept_sha256")
     assert got == sorted(want, key=repr)
     assert {x[0]: x[2] for x in got if x[0] % 2 and x[0] < 64} == {2 * i + 1: len(run) for i, run in enumerate(runs)}
+    left = {x.doc_id: x.text for x in line_dedup.strip_repeated_lines(odd(spark.read.parquet(str(tmp_path / "documents.parquet")))).collect()}
+    assert left[900] == "a" and left[901] == "x\nsame line\ny" and left[903] is None and hashlib.sha256(left[2000].encode()).hexdigest() == [x[3] for x in got if x[0] == 2000][0]
 
 
 def test_quality(spark):
