@@ -7,6 +7,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronicat import errors
+from chronicat.functions import paths
+
 KEY = ("manifest", "name")
 
 
@@ -92,6 +95,11 @@ def ordered(cat: DataFrame) -> DataFrame:
     return cat.orderBy("ts", "manifest", "pos")
 
 
+def sequence(cat: DataFrame) -> DataFrame:
+    """Rows with ``seq``, their place by time (then pos) in their manifest."""
+    return cat.withColumn("seq", F.row_number().over(Window.partitionBy("manifest").orderBy("ts", "pos")).cast("bigint") - 1)
+
+
 def at_position(cat: DataFrame, pos: int, manifest: str | None = None) -> DataFrame:
     """The row at a position of one manifest, or of each; none out of range."""
     rows = cat.where(F.col("pos") == pos)
@@ -99,13 +107,19 @@ def at_position(cat: DataFrame, pos: int, manifest: str | None = None) -> DataFr
 
 
 def without_position(cat: DataFrame, pos: int, manifest: str | None = None) -> DataFrame:
-    """All other rows; ``IndexError`` if no row is there."""
+    """All other rows; an ``OutOfRange`` (IndexError) if no row is there."""
     if at_position(cat, pos, manifest).limit(1).isEmpty():
-        raise IndexError(pos)
+        raise errors.OutOfRange(pos)
     here = F.col("pos") == pos
     return cat.where(~(here if manifest is None else here & (F.col("manifest") == manifest)))
 
 
 def attributes(cat: DataFrame) -> DataFrame:
-    """Stat-like projection of files."""
-    return cat.select("manifest", "name", "pos", "size", F.col("ts").alias("mtime"), F.col("ts").alias("ctime"), F.lit("0644").alias("mode"))
+    """Stat-like projection of files; ``inode`` if rows have one."""
+    return cat.select("manifest", "name", "pos", "size", F.col("ts").alias("mtime"), F.col("ts").alias("ctime"), F.lit("0644").alias("mode"), *[c for c in ("inode",) if c in cat.columns])
+
+
+def folder_attributes(cat: DataFrame) -> DataFrame:
+    """(manifest, dir, inode, mode) of every folder above a name, '' the root."""
+    up = cat.select("manifest", F.explode(paths.ancestors(F.col("name"))).alias("dir")).distinct()
+    return up.select("manifest", "dir", F.lit(1).cast("bigint").alias("inode"), F.lit("0755").alias("mode"))

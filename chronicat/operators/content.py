@@ -35,6 +35,12 @@ def bucket_fill(rows: DataFrame) -> DataFrame:
     return rows.where("target <> ''").groupBy(b.alias("bucket")).agg(F.countDistinct("target").alias("blobs"), F.count("*").alias("refs"))
 
 
+def buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, subbucket) of the targets in use."""
+    part = lambda i: F.split_part("target", F.lit("-"), F.lit(i))
+    return rows.where("target <> ''").select(part(1).alias("bucket"), part(2).alias("subbucket")).distinct()
+
+
 def content_of(entries: DataFrame, members: DataFrame) -> DataFrame:
     """Entries joined to archive members by target; of several archives the
     first by name."""

@@ -41,15 +41,29 @@ def find_entries(names: DataFrame, cat: DataFrame, at: datetime | None = None) -
     return wanted.join(asof.snapshot(cat, at), ["manifest", "name"])
 
 
+def by_name(entries: DataFrame) -> DataFrame:
+    """Entries of one directory in the order of names."""
+    return entries.orderBy("entry", "kind")
+
+
+def _within(cat: DataFrame, first: str, end: str):
+    """Days from first up to end, as bounds that reach the scan."""
+    if "local_date" in cat.columns:
+        return (F.col("local_date") >= first) & (F.col("local_date") < end)
+    at = {"timestamp_ntz": F.to_timestamp_ntz, "date": F.to_date}.get(dict(cat.dtypes)["ts"], F.to_timestamp)
+    return (F.col("ts") >= at(F.lit(first))) & (F.col("ts") < at(F.lit(end)))
+
+
 def calendar(cat: DataFrame, year: str | None = None, month: str | None = None) -> DataFrame:
     """Years, months of a year or days of a month with any row, tombstones too."""
     day = F.col("local_date") if "local_date" in cat.columns else F.date_format("ts", "yyyy-MM-dd")
-    d = cat.select(F.substring(day, 1, 4).alias("year"), F.substring(day, 6, 2).alias("month"), F.substring(day, 9, 2).alias("day"))
+    d = [F.substring(day, 1, 4).alias("year"), F.substring(day, 6, 2).alias("month"), F.substring(day, 9, 2).alias("day")]
     if year is None:
-        return d.select("year").distinct()
+        return cat.select(d[0]).distinct()
     if month is None:
-        return d.where(F.col("year") == year).select("year", "month").distinct()
-    return d.where((F.col("year") == year) & (F.col("month") == month)).distinct()
+        return cat.where(_within(cat, f"{year}-01-01", f"{int(year) + 1:04d}-01-01")).select(*d[:2]).distinct()
+    after = f"{int(year) + 1:04d}-01-01" if month == "12" else f"{year}-{int(month) + 1:02d}-01"
+    return cat.where(_within(cat, f"{year}-{month}-01", after)).select(*d).distinct()
 
 
 def snapshot_dates(cat: DataFrame) -> DataFrame:

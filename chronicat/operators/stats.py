@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronicat import __version__
+from chronicat import __version__, errors
 from chronicat.operators import asof
 
+#: What the metadata of a manifest holds.
+FIELDS = ("engine_version", "total_file_count", "target_file_count", "uncompressed_size", "compressed_size", "oldest_file_ts", "newest_file_ts")
+
 
 def aggregates() -> list:
     return [
@@ -64,3 +67,19 @@ def with_ids(rows: DataFrame, floor: int) -> DataFrame:
 
 def without_ids(registry: DataFrame, gone: DataFrame) -> DataFrame:
     return registry.join(gone, "inode", "left_anti")
+
+
+def registry_size(registry: DataFrame) -> DataFrame:
+    return registry.agg(F.count("*").alias("size"))
+
+
+def with_id(registry: DataFrame, inode: int) -> DataFrame:
+    """The rows of an id; none if it isn't known."""
+    return registry.where(F.col("inode") == inode)
+
+
+def name_of(registry: DataFrame, inode: int) -> str:
+    row = with_id(registry, inode).select("name").first()
+    if row is None:
+        raise errors.IdNotFound(inode)
+    return row["name"]

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronicat.operators import asof, stats
-from chronicat.sources.catalog import MANIFEST, METADATA
+from chronicat.sources.archives import MANIFEST, METADATA
 
 RESERVED = (MANIFEST, METADATA)
-FREE_SPACE = 2  # times an archive's size that a repair needs
 
 
 def missing_targets(entries: DataFrame, members: DataFrame) -> DataFrame:
@@ -72,6 +71,28 @@ def preview(found: DataFrame) -> DataFrame:
     )
 
 
+def rendered(found: DataFrame) -> DataFrame:
+    """(archive, message) of every finding: its kind and what it is about."""
+    return found.select("archive", F.when(F.col("context") == "", F.col("kind")).otherwise(F.concat_ws(": ", "kind", "context")).alias("message"))
+
+
+def joined(found: DataFrame) -> DataFrame:
+    """(archive, errors): the messages of each archive as one, in order. An
+    archive's findings are few; they are bounded by its rows and members."""
+    return rendered(found).groupBy("archive").agg(F.array_join(F.sort_array(F.collect_list("message")), "\n").alias("errors"))
+
+
+def rendered_plan(plan: DataFrame) -> DataFrame:
+    """(archive, summary): what a repair would do, in words."""
+    parts = F.concat_ws(
+        ", ",
+        F.when(F.col("metadata_regenerated"), F.lit("metadata regenerated")),
+        F.when(F.col("orphaned_files_removed") > 0, F.concat(F.col("orphaned_files_removed").cast("string"), F.lit(" orphaned removed"))),
+        F.when(F.col("missing_entries_fixed") > 0, F.concat(F.col("missing_entries_fixed").cast("string"), F.lit(" missing entries fixed"))),
+    )
+    return plan.select("archive", F.when(~F.col("repairable"), "not repairable").when(parts == "", "nothing to do").otherwise(parts).alias("summary"))
+
+
 def repaired(entries: DataFrame, members: DataFrame, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, members, metadata) without orphans and dangling entries;
     tombstones stay. Archives that can't be repaired are returned as they are."""

@@ -39,6 +39,15 @@ t as (select dir, parent, count(*) as total, sum(case when direct then 1 else 0
 DOCS = "d as (select doc_id, sha256(text) as sha, concat((cast(concat('0x', substr(sha256(text), 1, 4)) as bigint) % 1000)::varchar, '-00000-', sha256(text)) as target from documents)"
 AGGREGATES = "count(distinct name) as total_file_count, count(distinct target) as target_file_count, sum(size)::bigint as uncompressed_size, min(ts) as oldest_file_ts, max(ts) as newest_file_ts"
 
+#: The generator's rules: a second of the year, a depth, a content and an
+#: extension, from digests of row and key.
+ROLL = "cast(concat('0x', substr(sha256(concat(i::varchar, '-', '{k}')), 1, 12)) as bigint)"
+SEED = f"""with n as (select range as i from range(10000)),
+r as (select i, timestamp '2024-01-01' + to_seconds({ROLL.format(k=42)} % 31536000) as ts, {ROLL.format(k=43)} % 100 as d, {ROLL.format(k=44)} % 50 as c, {ROLL.format(k=45)} % 2 as e from n),
+q as (select *, string_split(strftime(ts, '%Y/%m/%d/%H/%M/%S'), '/') as parts, case when d < 5 then 1 when d < 10 then 2 when d < 15 then 3 when d < 25 then 4 when d < 40 then 5 else 6 end as levels from r),
+files as (select array_to_string(list_slice(parts, 1, levels), '/') as folder, concat(sha256(c::varchar), chr(10)) as content, ts,
+  concat(array_to_string(list_slice(parts, 1, levels), '/'), '/part', lpad((i // 1000)::varchar, 6, '0'), '/', lpad(lower(to_hex(i)), 8, '0'), case when e = 0 then '.json' else '.txt' end) as name from q)"""
+
 
 def _boundaries(n: int) -> str:
     return CAT + TREE + f""" select t.dir as path, t.total <= {n} as include_subdirs, case when t.total <= {n} then t.total else t.own end as files
@@ -99,7 +108,7 @@ SQL = {
     "hash_name": r"select page_id, concat(regexp_extract(url, '^(.*/)?', 0), sha256(html), regexp_extract(url, '(\.[^./]*)$', 1)) as name from pages",
     "zip_path": CAT + NOW + " select pos, concat('/store/data/', split_part(target, '-', 1), '-', split_part(target, '-', 2), '.zip') as path from cat where target <> ''",
     "hex_digits": "select event_id, greatest(instr('0123456789abcdef', lower(substr(props, 3, 1))) - 1, 0)::bigint as digit from events",
-    "path_overlap": CAT + FILES + ", g(dir) as (values ('site1'), ('site1/dev1'), ('site1/dev11'), ('site')) select path, dir from f join g on starts_with(concat(path, '/'), concat(dir, '/')) or starts_with(concat(dir, '/'), concat(path, '/')) where path like '%dev1%'",
+    "path_overlap": CAT + FILES + ", g(dir) as (values ('site1'), ('site1/dev1'), ('site1/dev11'), ('site')) select path, dir from f join g on starts_with(concat(path, '/'), concat(dir, '/')) or starts_with(concat(dir, '/'), concat(path, '/'))",
     "date_validity": "select event_id, try_cast(concat(strftime(ts, '%Y-%m-'), lpad((event_id % 33)::varchar, 2, '0')) as date) is not null as valid from events",
     "day_snapshot_cutoff": "select distinct strftime(ts, '%Y-%m-%d') as day, date_trunc('day', ts) + interval '23:59:59' as cutoff from events",
     "nearest_manifest": CAT + FILES + """, m as (select distinct regexp_extract(path, '^(.*)/', 1) as dir from f where path like '%/dev%7/%' union select distinct split_part(path, '/', 1) from f)
@@ -122,4 +131,20 @@ count(*) filter (kind = 'missing target') as missing_entries_fixed, not bool_or(
     "repair_metadata": CAT + f"{MEMBERS}, k as (select manifest as archive, name, target, size from cat where target = '' or exists (select 1 from members m where m.archive = manifest and m.member = target)) select archive, count(distinct name) as total_file_count, count(distinct target) as target_file_count, sum(size)::bigint as uncompressed_size from k group by 1",
     "archive_member_counts": CAT + f"{MEMBERS} select archive, count(*) as members from members group by 1",
     "manifest_envelope": CAT + NOW + " select manifest, row_number() over (partition by manifest order by pos) - 1 as pos, name, target, size from cat",
+    "log_order": CAT + NOW + " select manifest, row_number() over (partition by manifest order by ts, pos) - 1 as seq, pos, name, ts from cat",
+    "scan_all": CAT + NOW + " select manifest, name, target, size, ts from cat",
+    "dir_children_by_name": CAT + SNAP + ", q as (" + _children("last", "dev3/").lstrip(" ,").replace("r as (", "with r as (", 1) + ") select *, row_number() over (partition by kind order by entry) as place from q",
+    "folder_attributes": CAT + NOW + " select distinct manifest, unnest(['', split_part(name, '/', 1)]) as dir, 1::bigint as inode, '0755' as mode from cat",
+    "error_join": CAT + FOUND + ", g as (select archive, case when context = '' then kind else concat(kind, ': ', context) end as message from found) select archive, string_agg(message, chr(10) order by message) as errors from g group by 1",
+    "repair_summary": CAT + FOUND + """, p as (select archive, bool_or(kind in ('missing metadata', 'metadata mismatch')) as m, count(*) filter (kind = 'orphan') as o,
+count(*) filter (kind = 'missing target') as t, not bool_or(kind in ('corrupted', 'missing manifest')) as ok from found group by 1)
+select archive, case when not ok then 'not repairable' else concat_ws(', ', case when m then 'metadata regenerated' end, case when o > 0 then concat(o::varchar, ' orphaned removed') end, case when t > 0 then concat(t::varchar, ' missing entries fixed') end) end as summary from p""",
+    "content_overlay": r"""with h as (select doc_id, hex(encode(text)) as x, (doc_id % 200)::int as p from documents)
+select doc_id, sha256(unhex(concat(rpad(substr(x, 1, 2 * p), 2 * p, '0'), hex(encode('PATCHED')), substr(x, 2 * p + 15)))) as written, sha256(unhex(rpad(substr(x, 1, 600), 600, '0'))) as truncated from h""",
+    "validate_altered": CAT + NOW + ", bad as (select distinct c.manifest, c.target from cat c join events e on c.pos = e.event_id where c.pos % 13 = 0 and c.target <> '') select distinct manifest as archive, pos, name from cat semi join bad using (manifest, target)",
+    "scan_members": CAT + f"{MEMBERS} select archive, bool_or(member = 'manifest.json') as has_manifest, bool_or(member = 'metadata.json') as has_metadata from members group by 1",
+    "own_files": CAT + f"{MEMBERS} select archive, count(*) as kept from members where member not in ('manifest.json', 'metadata.json') group by 1",
+    "path_depth": CAT + FILES + " select path, len(string_split(path, '/')) - 1 as depth, path like '%.zip' as is_archive from f",
+    "seed_shape": SEED + " select name, ts, concat((cast(concat('0x', substr(sha256(content), 1, 4)) as bigint) % 1000)::varchar, '-00000-', sha256(content)) as target from files",
+    "seed_by_depth": SEED + " select len(string_split(folder, '/')) as depth, count(*) as files, count(distinct content) as contents from files group by 1",
 }

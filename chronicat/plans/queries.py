@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronicat.functions import bytes as ranges
 from chronicat.functions import hashing, paths
 from chronicat.operators import asof, boundaries, content, listing, stats, validation
-from chronicat.sources import catalog
+from chronicat.sources import archives, catalog
 
 MID = datetime(2024, 1, 15, 23, 59, 59)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,10 @@ def _findings(spark: SparkSession, sf: str) -> DataFrame:
     return validation.findings(archives, e, _members(spark, sf), _stored(spark, sf), archives.where("archive = 'site9'"))
 
 
+def _registry(spark: SparkSession, sf: str) -> DataFrame:
+    return cat(spark, sf).select(F.col("pos").alias("inode"), "name")
+
+
 def _files(spark: SparkSession, sf: str) -> DataFrame:
     return cat(spark, sf).select(F.concat_ws("/", "manifest", "name").alias("path")).distinct()
 
@@ -220,17 +225,17 @@ def next_inode(spark, sf):
 
 @query
 def registry_size(spark, sf):
-    return _table(spark, sf, "events").agg(F.count("*").alias("size"))
+    return stats.registry_size(_registry(spark, sf))
 
 
 @query
 def registry_lookup(spark, sf):
-    return _table(spark, sf, "events").where("event_id = 42").select(F.col("event_id").alias("inode"), F.concat(F.lit("dev"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"), F.lit(".json")).alias("name"))
+    return stats.with_id(_registry(spark, sf), 42)
 
 
 @query
 def registry_remove(spark, sf):
-    ids = _table(spark, sf, "events").select(F.col("event_id").alias("inode"))
+    ids = _registry(spark, sf).select("inode")
     return stats.without_ids(ids, ids.where("inode % 3 = 0"))
 
 
@@ -267,8 +272,7 @@ def bucket_fill(spark, sf):
 
 @query
 def list_buckets(spark, sf):
-    parts = [F.split_part("target", F.lit("-"), F.lit(i)).alias(n) for i, n in ((1, "bucket"), (2, "subbucket"))]
-    return asof.alive(cat(spark, sf)).select(*parts).distinct()
+    return content.buckets(cat(spark, sf))
 
 
 @query
@@ -306,7 +310,7 @@ def cat_props(spark, sf):
 
 @query
 def path_overlap(spark, sf):
-    f = _files(spark, sf).where("path like '%dev1%'")
+    f = _files(spark, sf)
     dirs = spark.createDataFrame([("site1",), ("site1/dev1",), ("site1/dev11",), ("site",)], "dir string")
     return f.join(F.broadcast(dirs), paths.overlap(F.col("path"), F.col("dir"))).select("path", "dir")
 
@@ -403,7 +407,7 @@ def repair_metadata(spark, sf):
 
 @query
 def archive_member_counts(spark, sf):
-    return _members(spark, sf).groupBy("archive").agg(F.count("*").alias("members"))
+    return archives.member_counts(_members(spark, sf))
 
 
 @query
@@ -416,3 +420,78 @@ def manifest_envelope(spark, sf):
 @query
 def seed_shape(spark, sf):
     return catalog.seed(spark).select("name", "ts", hashing.target(F.sha2("content", 256)).alias("target"))
+
+
+@query
+def log_order(spark, sf):
+    return asof.sequence(cat(spark, sf)).select("manifest", "seq", "pos", "name", "ts")
+
+
+@query
+def scan_all(spark, sf):
+    """Every manifest written and read back, all rows as one table."""
+    c = cat(spark, sf).withColumns({"inode": F.col("pos").cast("decimal(20,0)")})
+    back = catalog.envelope(catalog.with_modified(c)).select("manifest", F.from_json("value", "struct<entries:array<" + catalog.ENTRY + ">,sorted:boolean>").alias("d"))
+    return catalog.exploded(back.select("manifest", "d.entries")).select("manifest", "name", "target", "size", F.to_timestamp_ntz(F.substring("modified", 1, 26)).alias("ts"))
+
+
+@query
+def dir_children_by_name(spark, sf):
+    rows = listing.by_name(listing.children(cat(spark, sf), "dev3/", MID))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("entry")).cast("bigint"))
+
+
+@query
+def folder_attributes(spark, sf):
+    return asof.folder_attributes(cat(spark, sf))
+
+
+@query
+def error_join(spark, sf):
+    return validation.joined(_findings(spark, sf))
+
+
+@query
+def repair_summary(spark, sf):
+    return validation.rendered_plan(validation.preview(_findings(spark, sf)))
+
+
+@query
+def content_overlay(spark, sf):
+    raw, at = F.encode("text", "UTF-8"), (F.col("doc_id") % 200).cast("int")
+    return _table(spark, sf, "documents").select("doc_id", F.sha2(ranges.written(raw, F.encode(F.lit("PATCHED"), "UTF-8"), at), 256).alias("written"), F.sha2(ranges.truncated(raw, F.lit(300)), 256).alias("truncated"))
+
+
+@query
+def validate_altered(spark, sf):
+    """Contents that aren't what their target says: one in thirteen is cut."""
+    e = _table(spark, sf, "events").select("event_id", "props")
+    c = _entries(spark, sf).join(e, F.col("pos") == F.col("event_id")).where("target <> ''")
+    held = c.select("archive", F.col("target").alias("member"), F.encode(F.when(F.col("pos") % 13 == 0, F.substring("props", 2, 1 << 20)).otherwise(F.col("props")), "UTF-8").alias("content"))
+    return validation.altered(_entries(spark, sf), held).select("archive", "pos", "name").distinct()
+
+
+@query
+def scan_members(spark, sf):
+    """Whether each archive holds its manifest (member lookup)."""
+    m = _members(spark, sf)
+    return m.groupBy("archive").agg(F.bool_or(F.col("member") == archives.MANIFEST).alias("has_manifest"), F.bool_or(F.col("member") == archives.METADATA).alias("has_metadata"))
+
+
+@query
+def own_files(spark, sf):
+    """Names that a scan keeps: those that aren't the engine's own."""
+    m = _members(spark, sf)
+    return m.where(~F.col("member").rlike(catalog.OWN)).groupBy("archive").agg(F.count("*").alias("kept"))
+
+
+@query
+def path_depth(spark, sf):
+    f = _files(spark, sf)
+    return f.select("path", (F.size(F.split("path", "/")) - 1).cast("bigint").alias("depth"), catalog.is_archive(F.col("path")).alias("is_archive"))
+
+
+@query
+def seed_by_depth(spark, sf):
+    """The mix of folder depths of the seeded files."""
+    return catalog.seed(spark).groupBy(F.size(F.split("folder", "/")).cast("bigint").alias("depth")).agg(F.count("*").alias("files"), F.countDistinct("content").alias("contents"))

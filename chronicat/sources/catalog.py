@@ -1,23 +1,23 @@
-"""Where catalog rows come from: manifests, file scans, archives, tables and a
-generator; and how manifests and archives are written."""
+"""Where catalog rows come from: manifests, file scans, tables and a generator;
+and how manifests are written."""
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronicat import errors
 from chronicat.functions import hashing
+from chronicat.sources import stores
+from chronicat.sources.archives import ARCHIVE, MANIFEST, METADATA
 
 ENTRY = "struct<size:bigint,inode:decimal(20,0),modified:string,name:string,target:string>"
 ENVELOPE = f"entries array<{ENTRY}>, sorted boolean"
-MANIFEST, METADATA, ARCHIVE = "manifest.json", "metadata.json", ".zip"
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
+#: Files of the engine's own, which a scan leaves out.
+OWN = r"(^|/)(manifest|metadata)\.json$|\.(zip|bak|lock|part|new)$"
 
 
 def with_time(rows: DataFrame) -> DataFrame:
@@ -31,10 +31,12 @@ def exploded(envelopes: DataFrame) -> DataFrame:
     return with_time(rows.select("manifest", F.col("pos").cast("bigint").alias("pos"), "e.name", F.coalesce("e.target", F.lit("")).alias("target"), "e.size", "e.inode", "e.modified"))
 
 
-def read_manifests(spark: SparkSession, root: str, pattern: str = "*" + MANIFEST) -> DataFrame:
-    """All manifests below a folder; unreadable ones give no rows."""
-    files = spark.read.schema(ENVELOPE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(root)
-    return exploded(files.select(F.col("_metadata.file_path").alias("manifest"), "entries", "sorted"))
+def read_manifests(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of all manifests below a folder; ``manifest`` is the folder of each
+    below the root ('' for one in the root). Unreadable ones give no rows."""
+    files = spark.read.schema(ENVELOPE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", MANIFEST).json(root)
+    name = stores.below(spark, stores.decoded(F.col("_metadata.file_path")), root)
+    return exploded(files.select(F.regexp_replace(name, f"/?{MANIFEST}$", "").alias("manifest"), "entries", "sorted"))
 
 
 def envelope(rows: DataFrame) -> DataFrame:
@@ -44,23 +46,41 @@ def envelope(rows: DataFrame) -> DataFrame:
     return grouped.select("manifest", F.to_json(F.struct(F.transform("all", lambda x: x["e"]).alias("entries"), F.lit(True).alias("sorted"))).alias("value"))
 
 
-def write_manifests(rows: DataFrame, path: str) -> None:
-    envelope(rows).write.mode("overwrite").partitionBy("manifest").text(path)
+def with_modified(rows: DataFrame) -> DataFrame:
+    """Adds the text of ts, where rows have none."""
+    if "modified" in rows.columns:
+        return rows
+    zone = "" if dict(rows.dtypes)["ts"] == "timestamp_ntz" else "XXX"
+    text = F.date_format("ts", f"yyyy-MM-dd'T'HH:mm:ss.SSSSSS{zone}")
+    return rows.withColumn("modified", F.concat(text, F.lit("Z")) if not zone else text)
 
 
-def folder_path(root: str) -> str:
-    """A folder without its scheme, with a slash at its end."""
-    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+def _documents(batches, root: str):
+    for b in batches:
+        for manifest, value in zip(b.column("manifest").to_pylist(), b.column("value").to_pylist(), strict=True):
+            stores.put("/".join(filter(None, (root, manifest, MANIFEST))), value.encode() + b"\n")
+        yield b.select(["manifest"])
 
 
-def scan_files(spark: SparkSession, root: str, recursive: bool = True, skip: str = r"\.(zip|json\.manifest)$") -> DataFrame:
-    """One row per regular file: path, name (below root), size, ts, sha,
-    target, content."""
+def write_manifests(rows: DataFrame, root: str) -> int:
+    """One JSON document per manifest, in the folder of its name below root,
+    as ``read_manifests`` reads it; returns how many. A document replaces the
+    one before only when it is whole."""
+    rows = with_modified(rows)
+    rows = rows if "inode" in rows.columns else rows.withColumn("inode", F.lit(0).cast("decimal(20,0)"))
+    root = stores.qualified(rows.sparkSession, root)
+    return envelope(rows).mapInArrow(partial(_documents, root=root), "manifest string").count()
+
+
+def scan_files(spark: SparkSession, root: str, recursive: bool = True, skip: str = OWN) -> DataFrame:
+    """One row per regular file but the engine's own: path, name (below root),
+    size, ts, inode (of the path, as stores have none), sha, target, content."""
+    if not stores.is_folder(spark, root):
+        raise errors.ExpectedFolder(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root).where(~F.col("path").rlike(skip))
-    name = F.substring_index("path", folder_path(root), -1)
-    out = files.select("path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("ts"), hashing.content_sha(F.col("content")).alias("sha"), "content")
-    if not recursive:
-        out = out.where(~F.contains("name", F.lit("/")))
+    name = stores.below(spark, F.col("path"), root)
+    inode = F.conv(F.hex(F.xxhash64("path")), 16, 10).cast("decimal(20,0)")
+    out = files.select("path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("ts"), inode.alias("inode"), hashing.content_sha(F.col("content")).alias("sha"), "content")
     return out.withColumn("target", hashing.target(F.col("sha")))
 
 
@@ -68,23 +88,11 @@ def count_files(spark: SparkSession, root: str) -> int:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path").count()
 
 
-def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for i in z.infolist():
-                        if not i.is_dir():
-                            yield pd.DataFrame({"archive": [path], "member": [i.filename], "content": [z.read(i)], "corrupted": [False]})
-            except (zipfile.BadZipFile, EOFError, OSError, zipfile.LargeZipFile):
-                yield pd.DataFrame({"archive": [path], "member": [""], "content": [None], "corrupted": [True]})
-
-
-def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    """(archive, member, content, corrupted): members of every archive; one row
-    for an archive that can't be read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*" + ARCHIVE).load(root)
-    return files.select("path", "content").mapInPandas(_members, "archive string, member string, content binary, corrupted boolean")
+def counts_by_folder(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, files) of the folders right below root, '' for its own files."""
+    name = stores.below(spark, F.col("path"), root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(name.alias("name"))
+    return files.groupBy(F.when(F.contains("name", F.lit("/")), F.substring_index("name", "/", 1)).otherwise("").alias("folder")).agg(F.count("*").alias("files"))
 
 
 def archive_manifests(members: DataFrame) -> DataFrame:
@@ -93,35 +101,14 @@ def archive_manifests(members: DataFrame) -> DataFrame:
     return exploded(inside.select("manifest", "d.entries", "d.sorted"))
 
 
-def member_exists(members: DataFrame, archive: str, member: str) -> bool:
-    return not members.where((F.col("archive") == archive) & (F.col("member") == member)).limit(1).isEmpty()
-
-
 def is_archive(path: F.Column) -> F.Column:
     return F.endswith(path, F.lit(ARCHIVE))
 
 
-def write_archives(members: DataFrame, root: str) -> DataFrame:
-    """Write (archive, member, content) as one archive per name below root, a
-    store that every executor reaches (any URI that pyarrow knows). Returns the
-    (archive, members) written. A retry overwrites its own file."""
-
-    def put(frame: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-        name = frame["archive"].iloc[0]
-        path = f"{base}/{name}"
-        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            for member, content in sorted(zip(frame["member"], frame["content"], strict=True)):
-                z.writestr(member, content)
-        with store.open_output_stream(path) as out:
-            out.write(buffer.getvalue())
-        return pd.DataFrame({"archive": [name], "members": [len(frame)]})
-
-    return members.select("archive", "member", "content").groupBy("archive").applyInPandas(put, "archive string, members bigint")
+def stored_metadata(members: DataFrame) -> DataFrame:
+    """(archive, total_file_count, target_file_count) that archives tell."""
+    inside = members.where(F.col("member") == METADATA).select("archive", F.from_json(F.col("content").cast("string"), "total_file_count bigint, target_file_count bigint").alias("m"))
+    return inside.select("archive", "m.*")
 
 
 def events_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,17 +126,27 @@ def events_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seed(spark: SparkSession, files: int = 10_000, contents: int = 50, per_dir: int = 1000, key: int = 42) -> DataFrame:
-    """A deterministic catalog of generated files: name, content, ts, depth.
+    """A deterministic catalog of generated files: name, content, ts, folder.
     Dates are uniform over a year; depths follow a fixed mix."""
     n = F.col("id")
-    roll = lambda k: F.pmod(F.xxhash64(n, F.lit(key + k)), F.lit(1_000_000)) / 1_000_000.0
-    second = (roll(0) * 365 * 86_400).cast("bigint")
-    ts = F.timestamp_seconds(F.lit(1_704_067_200) + second)
-    depth = roll(1)
-    form = F.when(depth < 0.05, "yyyy").when(depth < 0.1, "yyyy/MM").when(depth < 0.15, "yyyy/MM/dd").when(depth < 0.25, "yyyy/MM/dd/HH").when(depth < 0.4, "yyyy/MM/dd/HH/mm").otherwise("yyyy/MM/dd/HH/mm/ss")
-    parts = F.split(F.date_format(ts, "yyyy/MM/dd/HH/mm/ss"), "/")
-    folder = F.array_join(F.slice(parts, F.lit(1), F.size(F.split(form, "/"))), "/")
-    content = F.concat(F.sha2((F.pmod(F.xxhash64(n, F.lit(key + 2)), F.lit(contents))).cast("string"), 256), F.lit("\n"))
-    ext = F.when(roll(3) < 0.5, ".json").otherwise(".txt")
+    roll = lambda k, m: F.conv(F.substring(F.sha2(F.concat_ws("-", n.cast("string"), F.lit(str(key + k))), 256), 1, 12), 16, 10).cast("bigint") % m
+    ts = F.timestamp_add("SECOND", roll(0, 365 * 86_400), F.to_timestamp_ntz(F.lit("2024-01-01")))
+    depth = roll(1, 100)
+    levels = F.when(depth < 5, 1).when(depth < 10, 2).when(depth < 15, 3).when(depth < 25, 4).when(depth < 40, 5).otherwise(6)
+    folder = F.array_join(F.slice(F.split(F.date_format(ts, "yyyy/MM/dd/HH/mm/ss"), "/"), F.lit(1), levels), "/")
+    content = F.concat(F.sha2(roll(2, contents).cast("string"), 256), F.lit("\n"))
+    ext = F.when(roll(3, 2) == 0, ".json").otherwise(".txt")
     part = F.concat(F.lit("part"), F.lpad(F.floor(n / per_dir).cast("string"), 6, "0"))  # bounds a folder
     return spark.range(files).select(F.concat_ws("/", folder, part, F.concat(F.lpad(F.lower(F.hex(n)), 8, "0"), ext)).alias("name"), content.alias("content"), ts.alias("ts"), folder.alias("folder"))
+
+
+def _seed_files(batches, root: str):
+    for b in batches:
+        for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
+            stores.put(f"{root}/{name}", content.encode())
+        yield b.select(["name"])
+
+
+def write_seed(rows: DataFrame, root: str) -> int:
+    """The seeded files themselves, below root; returns how many."""
+    return rows.select("name", "content").repartition("name").mapInArrow(partial(_seed_files, root=stores.qualified(rows.sparkSession, root)), "name string").count()

@@ -9,10 +9,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from chronicat import errors
+from chronicat.functions import bytes as ranges
 from chronicat.functions import hashing, paths
 from chronicat.operators import asof, boundaries, content, listing, stats, validation
 from chronicat.plans import convert
-from chronicat.sources import catalog
+from chronicat.sources import archives, catalog
 from chronicat.streaming import ingest
 
 LOG = "manifest string, pos bigint, name string, target string, size bigint, ts timestamp"
@@ -160,7 +162,7 @@ def test_boundaries_match_the_recursive_rule(spark, key):
     for target in (0, 3, 10, 100):
         found = boundaries.boundaries(d, target)
         assert set(names(found, "path", "include_subdirs")) == by_recursion(files, target)
-        assert boundaries.assigned(d, target).groupBy("boundary", "include_subdirs").count().join(found.withColumnRenamed("path", "boundary"), ["boundary", "include_subdirs"]).where("count <> files").count() == 0
+        assert boundaries.assigned(d, target).groupBy("boundary", "include_subdirs").count().join(found.where("files > 0").withColumnRenamed("path", "boundary"), ["boundary", "include_subdirs"], "full").where("not count <=> files").count() == 0
 
 
 def test_empty_folders_are_boundaries(spark):
@@ -194,9 +196,9 @@ def test_validate_and_repair(spark):
 
 def test_archives_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("1-00000.zip", "k1", b"one"), ("1-00000.zip", "k2", b"two"), ("2-00000.zip", "k3", b"")], "archive string, member string, content binary")
-    assert catalog.write_archives(rows, str(tmp_path)).agg(F.sum("members")).first()[0] == 3
+    assert archives.write_archives(rows, str(tmp_path)).agg(F.sum("members")).first()[0] == 3
     (tmp_path / "bad.zip").write_bytes(b"no archive")
-    got = catalog.read_archives(spark, str(tmp_path)).cache()
+    got = archives.read_archives(spark, str(tmp_path)).cache()
     assert names(got.where("not corrupted"), "member", "content") == [("k1", b"one"), ("k2", b"two"), ("k3", b"")]
     assert got.where("corrupted").count() == 1
     with zipfile.ZipFile(tmp_path / "1-00000.zip") as z:
@@ -205,7 +207,7 @@ def test_archives_round_trip(spark, tmp_path):
     old = got.withColumn("member", F.concat(F.lit("1-00000-"), "member"))
     out = str(tmp_path / "again")
     convert.repack_buckets(new, old.where("member <> '1-00000-'"), out).collect()
-    assert ("1-00000-k1", b"new") in names(catalog.read_archives(spark, out), "member", "content")
+    assert ("1-00000-k1", b"new") in names(archives.read_archives(spark, out), "member", "content")
 
 
 def test_convert(spark, tmp_path):
@@ -213,10 +215,16 @@ def test_convert(spark, tmp_path):
         p = tmp_path / "in" / f"d{i % 2}" / f"{i}.json"
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(str(i // 2))
+    (tmp_path / "in" / "metadata.json").write_text("the engine's own")
     m = convert.convert(spark, f"file:{tmp_path}/in", str(tmp_path / "out"), 3).first()
-    assert m.total_file_count == 6 or m.total_file_count == 3 * 2
+    assert m.total_file_count == 6 and m.target_file_count == 3
+    log = spark.read.parquet(str(tmp_path / "out/log"))
+    assert names(log, "manifest", "pos") == [(d, i) for d in ("d0", "d1") for i in range(3)]
+    with zipfile.ZipFile(tmp_path / "out/data/d1.zip") as z:
+        assert len(z.namelist()) == 5 and json.loads(z.read(archives.METADATA))["total_file_count"] == 3
+        assert [e["name"] for e in json.loads(z.read(archives.MANIFEST))["entries"]] == [r.name for r in log.where("manifest = 'd1'").orderBy("pos").collect()]
     assert spark.read.parquet(str(tmp_path / "out/blobs")).count() == 3
-    assert catalog.count_files(spark, str(tmp_path / "in")) == 6
+    assert catalog.count_files(spark, str(tmp_path / "in")) == 7
 
 
 def test_ingest_restarts_without_doubling(spark, tmp_path):
@@ -250,3 +258,144 @@ def test_ids(spark):
     assert stats.next_ids(r).first()[0] == 10 and stats.next_ids(r, 100).first()[0] == 101 and stats.next_ids(r.where("false")).first()[0] == 1
     rows = stats.with_ids(spark.range(1000).repartition(7), 50)
     assert rows.select("inode").distinct().count() == 1000 and rows.where("inode <= 50").count() == 0
+
+
+def test_names_below_relative_and_repeated_roots(spark, tmp_path, monkeypatch):
+    for f in ("in/y.json", "in/main/y.json", "in/in/in/z json+1%.txt", "in/manifest.json", "in/a.zip"):
+        p = tmp_path / f
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(f)
+    want = [("in/in/z json+1%.txt",), ("main/y.json",), ("y.json",)]
+    for root in (str(tmp_path / "in"), f"file:{tmp_path}/in/", f"file://{tmp_path}/in", os.path.relpath(tmp_path / "in")):
+        scanned = catalog.scan_files(spark, root)
+        assert names(scanned, "name") == want and scanned.select("inode").distinct().count() == 3
+    assert names(catalog.scan_files(spark, str(tmp_path / "in"), recursive=False), "name") == [("y.json",)]
+    assert names(catalog.counts_by_folder(spark, str(tmp_path / "in")), "folder", "files") == [("", 3), ("in", 1), ("main", 1)]
+    with pytest.raises(errors.ExpectedFolder):
+        catalog.scan_files(spark, str(tmp_path / "in/y.json"))
+
+
+def test_manifests_round_trip(spark, tmp_path):
+    rows = [("", 0, "top", "t0", 1, D(1)), ("a b/c", 0, "x", "t1", 5, D(1, 2, 3, 4, 5, 678)), ("a b/c", 1, "x", "", 0, D(2)), ("a b", 0, "c/x", "t2", 1, D(1))]
+    c = spark.createDataFrame(rows, LOG)
+    root = str(tmp_path / "store")
+    assert catalog.write_manifests(c, root) == 3 and catalog.write_manifests(c, root) == 3
+    back = catalog.read_manifests(spark, root)
+    assert names(back, "manifest", "pos", "name", "target", "size", "ts") == sorted(rows)
+    wanted = spark.createDataFrame([("a b/c/x",), ("top",), ("none/x",)], "path string")
+    assert names(listing.find_entries(wanted, back, D(1, 15)), "path", "target") == [("a b/c/x", "t1"), ("top", "t0")]
+    assert [f for _, _, fs in os.walk(root) for f in fs if not f.endswith(".crc")] == [catalog.MANIFEST] * 3
+
+
+def test_positions_are_dense_and_ordered_over_many_partitions(spark):
+    rows = spark.range(3000).select(F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**6)).cast("string"), 6, "0").alias("name"), F.timestamp_seconds(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(200))).alias("ts"))
+    spark.conf.set("spark.sql.shuffle.partitions", "130")
+    try:
+        got = ingest.placed(rows, 7).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got.sort(key=lambda r: r.pos)
+    assert [r.pos for r in got] == [(7 << 40) + i for i in range(3000)]
+    assert [(r.ts, r.name) for r in got] == sorted((r.ts, r.name) for r in got)
+
+
+def test_landing_is_cleaned(spark, tmp_path):
+    land, store, gone = tmp_path / "land", tmp_path / "store", tmp_path / "gone"
+    (land / "deep").mkdir(parents=True)
+    for k in range(3):  # a file goes once a later batch has been planned
+        (land / "deep" / f"{k}.json").write_text(str(k))
+        ingest.start(spark, f"file:{land}", str(store), every=None, clean="archive", archive=f"file:{gone}").awaitTermination()
+    assert names(ingest.read_log(spark, str(store)), "name") == [(f"deep/{k}.json",) for k in range(3)]
+    assert any(f == "0.json" for _, _, fs in os.walk(gone) for f in fs)
+
+
+def broken_store(spark, tmp_path):
+    """An archive with an orphan, a dangling entry, a tombstone and wrong
+    metadata, a sound one, one without manifest, one that isn't an archive."""
+    store = tmp_path / "store"
+    store.mkdir()
+    e = lambda n, t: {"size": 1, "inode": 1, "modified": "2024-01-01T00:00:00Z", "name": n, "target": t}
+    good = [e("a", "t1"), e("b", "t2"), e("c", "")]
+    for name, entries, members in (("odd", [*good, e("d", "lost")], ["t1", "t2", "orphan"]), ("fine", good, ["t1", "t2"]), ("bare", None, ["t1"])):
+        with zipfile.ZipFile(store / f"{name}.zip", "w") as z:
+            for m in members:
+                z.writestr(m, "content of " + m)
+            if entries is not None:
+                z.writestr(archives.MANIFEST, json.dumps({"entries": entries, "sorted": True}))
+                z.writestr(archives.METADATA, archives.metadata_json(good))
+    (store / "torn.zip").write_bytes(b"PK not really")
+    return store
+
+
+def test_repair_writes_and_validates_clean(spark, tmp_path):
+    from chronicat.__main__ import check
+
+    store = broken_store(spark, tmp_path)
+    _, found = check(spark, str(store))
+    plan = validation.preview(found).cache()
+    words = {os.path.basename(r.archive): r.summary for r in validation.rendered_plan(plan).collect()}
+    assert words == {"odd.zip": "metadata regenerated, 1 orphaned removed, 1 missing entries fixed", "bare.zip": "not repairable", "torn.zip": "not repairable"}
+    assert "corrupted" in {r.errors for r in validation.joined(found).collect()}
+    (store / "odd.zip.lock").write_text("")
+    assert archives.repair_archives(plan).first().error.startswith("ArchiveLocked")
+    (store / "odd.zip.lock").unlink()
+    done = archives.repair_archives(plan).collect()
+    assert [(r.repaired, r.orphaned_files_removed, r.missing_entries_fixed) for r in done] == [(True, 1, 1)]
+    assert sorted(os.listdir(store)) == ["bare.zip", "fine.zip", "odd.zip", "odd.zip.bak", "torn.zip"]
+    left = {os.path.basename(r.archive) for r in check(spark, str(store))[1].collect()}
+    assert left == {"bare.zip", "torn.zip"}
+    with zipfile.ZipFile(store / "odd.zip") as z:
+        assert z.read("t2") == b"content of t2" and {x["name"] for x in json.loads(z.read(archives.MANIFEST))["entries"]} == {"a", "b", "c"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from chronicat.__main__ import main
+
+    store = broken_store(spark, tmp_path)
+    assert main(["validate", "-p", str(store), "-v", "-r", "--dry-run"]) == 1 and not (store / "odd.zip.bak").exists()
+    assert "1 orphaned removed" in capsys.readouterr().out
+    assert main(["validate", "-p", str(store), "-r", "--remove-backup"]) == 1 and not (store / "odd.zip.bak").exists()
+    for name in ("bare.zip", "torn.zip"):
+        (store / name).unlink()
+    assert main(["validate", "-p", str(store)]) == 0
+    files, out = str(tmp_path / "files"), str(tmp_path / "out")
+    assert main(["seed", "-o", files, "-c", "40", "-v"]) == 0
+    capsys.readouterr()
+    assert main(["count", files, "--progress"]) == 0 and capsys.readouterr().out.strip().endswith("40")
+    assert main(["convert", "-i", files, "-o", out, "-s", "5", "-t", "2", "-v"]) == 0
+    assert main(["validate", "-p", out]) == 0 and main(["snapshot", out, "live/"]) == 0
+    assert main(["convert", "-i", files, "-o", out + "2", "--legacy"]) == 0 and os.listdir(out + "2/data")
+    assert main(["convert", "-i", files, "-o", files + "/x"]) == 2
+
+
+def test_zip_tree_and_buckets(spark, tmp_path):
+    for f, t in (("in/a.txt", "a"), ("in/sub/b.txt", "b"), ("in/old.zip", "z")):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text(t)
+    files = catalog.scan_files(spark, str(tmp_path / "in"))
+    for recursive, want in ((True, ["a.txt", "sub/b.txt"]), (False, ["a.txt"])):
+        archives.zip_tree(files, str(tmp_path / "out"), recursive=recursive).collect()
+        with zipfile.ZipFile(tmp_path / "out/files.zip") as z:
+            assert z.namelist() == want
+    assert names(archives.read_archives(spark, str(tmp_path / "out"), contents=False), "member", "size", "content") == [("a.txt", 1, None)]
+    with pytest.raises(errors.NotAnArchive):
+        archives.read_archive(spark, str(tmp_path / "in/a.txt"))
+    blobs = spark.range(40).select(F.concat(F.lit("7-00000-"), F.sha2(F.col("id").cast("string"), 256)).alias("target"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    made = convert.pack_buckets(blobs, str(tmp_path / "packed"), most=20).collect()
+    assert len(made) > 2 and sum(r.members for r in made) == 40
+    assert archives.read_archives(spark, str(tmp_path / "packed")).select("member").distinct().count() == 40
+
+
+def test_byte_ranges(spark):
+    d = spark.createDataFrame([(b"hello", b"XY", at, size) for at, size in ((0, 3), (1, 5), (4, 7), (5, 0), (7, 1))], "c binary, d binary, at int, size int")
+    for r in d.select("*", ranges.written(F.col("c"), F.col("d"), F.col("at")).alias("w"), ranges.truncated(F.col("c"), F.col("size")).alias("t")).collect():
+        whole = bytearray(bytes(r.c).ljust(r.at, b"\0"))
+        whole[r.at : r.at + 2] = b"XY"
+        assert bytes(r.w) == bytes(whole) and bytes(r.t) == bytes(r.c)[: r.size].ljust(r.size, b"\0")
+
+
+def test_registry_errors(spark):
+    r = spark.createDataFrame([(5, "a")], "inode bigint, name string")
+    assert stats.name_of(r, 5) == "a" and stats.registry_size(r).first().size == 1
+    with pytest.raises(errors.IdNotFound):
+        stats.name_of(r, 6)
