@@ -46,6 +46,8 @@ WINDOW, PHRASE = 20, 8
 SLICE = 2 << 20
 #: Anchors that more slices than these hold are split by window.
 CROWDED = 10_000
+#: Rows that a task factors, about.
+BLOCK_ROWS = 250_000
 EMPTY = hashlib.sha256(b"").digest()
 
 
@@ -263,7 +265,9 @@ def _repeats(docs: DataFrame, window: int, phrase: int) -> tuple[DataFrame, Data
     found = once.mapInArrow(partial(_factors, known=known.bits, log=known.log, crowded=crowded.bits, crowded_log=crowded.log, window=window, phrase=phrase), FACTORS)
     if known.bits is None:
         found = found.where("until > 0").unionByName(found.where("until = 0").join(again, "anchor", "left_semi"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Rows for the blocks are about as many as slices that hold recurring anchors.
+    many = again.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // BLOCK_ROWS)
     found = found.drop("anchor").repartition(parts, "key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "row", "start")
     return heads, once, C.stash(found.mapInArrow(partial(_late, window=window), FOUND), "factors")
 

@@ -555,6 +555,132 @@ def test_pipeline(spark, tmp_path):
     assert check_packing(left, out) == 0
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables; then nulls, repeated rows, clashing columns and a long text."""
+    import corpus_pipeline
+
+    r = random.Random(41)
+    long = words(40_000, r)
+    some = [(None, None), (None, ""), (1, "a b c"), (1, "a b c"), (2, long), (3, long + " end"), (4, None), (7, words(70, r)), (7, words(70, r))]
+    for name, texts, labels, items in (("none", [], [], []), ("odd", some, [(None, None), (1, 0), (1, 0)], [(None, "x"), (1, None), (2, "")])):
+        sf = tmp_path / name
+        odd(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS)).write.parquet(str(sf / "documents.parquet"))
+        spark.createDataFrame([(i, 1, x) for i, x in labels], "doc_id long, quality int, toxic int").write.parquet(str(sf / "labels.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(sf / "benchmark.parquet"))
+        docs = C.read_table(spark, str(sf), "documents")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = C.stash(stage(spark, docs, str(sf)), "stage")
+            assert docs.columns == odd(spark.createDataFrame([], DOCS)).columns
+        assert rows(docs, "doc_id", "text") == sorted([x for x in [(1, "a b c"), (2, long), (4, None), *some[-2:]] if texts], key=repr)
+        out = corpus_pipeline.run(spark, str(sf)).collect()
+        assert {x.doc_id for x in out} == ({1, 2, 4, 7} if texts else set())
+
+
+def test_very_long_texts(spark):
+    import pyarrow as pa
+
+    r = random.Random(42)
+    item = " ".join("".join(r.choice("hijklmno") for _ in range(6)) for _ in range(30))
+    long = words(30_000, r) + " " + item + " " + words(30_000, r)
+    d = spark.createDataFrame([(1, long, "aa"), (2, words(30, r), "aa"), (3, "zu viel", "bb")] + [(10 + i, words(30, r), "aa") for i in range(9)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(10, 19)], "doc_id long, quality int, toxic int")
+    weights = toxicity.fit(d, labels)
+    scored = {x.doc_id: x.score for x in toxicity.toxicity(d, labels).collect()}
+    assert scored[1] == pytest.approx(linear.Scorer(*weights)(pa.array([long]))[0])
+    assert {(x.doc_id, x.item_id, x.word_from) for x in decontamination.contaminated(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()} == {(1, 5, 30_000)}
+    assert {x.doc_id: x.lang_pred for x in language_id.language_id(d).collect()}[1] == "aa"
+    assert {x.doc_id for x in quality.quality(d).collect()} == {1, 2, 3, *range(10, 19)}
+
+
+def test_ftrl_equals_a_plain_one():
+    import math
+
+    import pyarrow as pa
+
+    r = random.Random(43)
+    texts = [words(12, r) + (" vile" if k % 3 == 0 else "") for k in range(60)]
+    target = [float(k % 3 == 0) for k in range(60)]
+    options = {"alpha": 0.5, "beta": 1.0, "l1": 0.05, "l2": 0.1}
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(target)], names=["text", "target"])
+    got = next(linear._train([batch], 3, options))
+    got = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    doc, found = linear.features(pa.array(texts))
+    sets = [set(found[doc == k].tolist()) for k in range(60)]
+    often = {f for f in set.union(*sets) if sum(f in x for x in sets) >= linear.LEAST}
+    z, n, bias = {}, {}, 1 << linear.BITS
+
+    def weight(f):
+        a = z.get(f, 0.0)
+        return 0.0 if abs(a) <= 0.05 else -(a - math.copysign(0.05, a)) / ((1.0 + math.sqrt(n[f])) / 0.5 + 0.1)
+
+    for _ in range(3):
+        for own, t in zip(sets, target, strict=True):
+            fs = [*(own & often), bias]
+            w = {f: weight(f) for f in fs}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - t
+            for f in fs:
+                old = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / 0.5 * w[f]
+                n[f] = old + g * g
+    want = {f: weight(f) for f in z}
+    assert all(got.get(f, 0.0) == pytest.approx(w, abs=1e-4) for f, w in want.items()) and set(got) <= set(want)
+    alone = linear.Scorer(np.array(list(got)), np.array(list(got.values()), np.float32))(pa.array([texts[0], None]))
+    assert alone[0] == pytest.approx(1 / (1 + math.exp(-sum(want[f] for f in (sets[0] & often) | {bias}))), abs=1e-3)
+    assert alone[1] == pytest.approx(1 / (1 + math.exp(-want[bias])), abs=1e-3)
+
+
+def test_em_equals_a_plain_one():
+    import math
+
+    r = random.Random(44)
+    votes = [[r.choice((0, 1, 1, 2)) for _ in range(3)] for _ in range(80)]
+    counts = {}
+    for v in votes:
+        p = sum(x << 2 * k for k, x in enumerate(v))
+        counts[p] = counts.get(p, 0) + 1
+    q, _, prior = quality.posterior(counts, 3, 20)
+    good = [0.9 if v.count(1) - 3 * v.count(2) > 0 else 0.1 for v in votes]
+    for _ in range(20):
+        share = min(0.99, max(0.01, sum(good) / len(good)))
+        table = [[[1 + sum((g if c else 1 - g) for g, v in zip(good, votes, strict=True) if v[k] == x) for c in (0, 1)] for x in range(3)] for k in range(3)]
+        total = [[sum(table[k][x][c] for x in range(3)) for c in (0, 1)] for k in range(3)]
+        likely = lambda v, c: (share if c else 1 - share) * math.prod(table[k][x][c] / total[k][c] for k, x in enumerate(v))  # noqa: E731,B023
+        good = [likely(v, 1) / (likely(v, 0) + likely(v, 1)) for v in votes]
+    for v, g in zip(votes, good, strict=True):
+        assert q[sum(x << 2 * k for k, x in enumerate(v))] == pytest.approx(g, abs=1e-9)
+    assert prior == pytest.approx(share)
+
+
+def test_fallbacks_beyond_the_broadcast(spark, docs, monkeypatch):
+    """With no room for key sets and filters the results stay the same."""
+    dedup = lambda: rows(exact_dedup.exact_dedup(docs), "doc_id", "keep_id", "group_size")
+    kept = lambda: rows(simhash.keep_one(exact_dedup.keep_first(docs)), "doc_id", "text")
+    before = dedup(), kept()
+    monkeypatch.setattr(C.KeySet, "LIMIT", 1)
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", 1)
+    assert (dedup(), kept()) == before
+
+
+def test_grids_of_any_size_link_the_same(spark):
+    r = random.Random(45)
+    base = [r.getrandbits(64) for _ in range(6)]
+    fps = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randrange(5))) for b in base for _ in range(12)})
+    d = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    near = {frozenset((a, b)) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4}
+
+    def roots(edges):
+        root = {f: f for f in fps}
+        for _ in fps:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    want = roots([tuple(x) for x in near])
+    for extra in (3, 5, 7):
+        got = [(x.x % (1 << 64), x.y % (1 << 64)) for x in simhash.links(d, len(fps), 4, extra).collect()]
+        assert all((a ^ b).bit_count() <= 64 for a, b in got) and roots(got) == want
+
+
 def test_stages_keep_distinct_texts_with_null_or_shared_ids(spark):
     r = random.Random(22)
     a, b, c, d, e, item = (words(80, r) for _ in range(6))
