@@ -1,5 +1,13 @@
 """Corpus pipeline: toxicity, exact dedup, SimHash near-dedup, benchmark
-decontamination, packing. Each stage reads what its predecessor wrote."""
+decontamination, packing. Each stage reads what its predecessor wrote.
+
+Defined cases of all stages: an empty table gives an empty one; null texts count
+as empty; a null doc_id is larger than all others; rows with the same doc_id and
+text are one document from exact dedup on; texts are read whole at any length;
+further columns pass through all stages but the last, whatever their names. A
+score right at the threshold, as any above it, rejects; of copies the smallest
+doc_id stays, ties go by a hash of the text; without labels nothing is toxic,
+and without items nothing is a benchmark's copy."""
 
 from __future__ import annotations
 
