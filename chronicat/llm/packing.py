@@ -32,7 +32,7 @@ from . import common as C
 
 SIZE = 1024
 #: Simplex steps at most; what the program then leaves uncovered is cut.
-STEPS = 1500
+STEPS = 300
 #: Items of one length and bucket are ranked in one task; about so many.
 RANKED = 20_000
 
@@ -84,15 +84,26 @@ def _tokenise(batches, tokenizer: str, size: int):
 
 class Patterns:
     """max sum(size * x) over patterns, each length used at most as often as it
-    is there. Revised simplex on an explicit inverse; slack columns start."""
+    is there. Revised simplex on an explicit inverse: slack columns start, the
+    pairs and triples that fill a sequence enter first, then the columns that
+    the knapsack program prices."""
 
     def __init__(self, lengths: list[int], counts: list[int], size: int = SIZE, steps: int = STEPS):
         self.lengths, self.size = lengths, size
         self.m, self.have = len(lengths), np.array(counts, dtype=np.float64)
         self.columns: list[np.ndarray | None] = [None] * self.m  # of the basis; None: slack
-        inverse, x, cost = np.eye(self.m), self.have.copy(), np.zeros(self.m)
+        self.inverse, self.x, self.cost = np.eye(self.m), self.have.copy(), np.zeros(self.m)
+        at = {n: i for i, n in enumerate(lengths)}
+        free = np.zeros(size + 1, dtype=np.int64)
+        free[lengths] = counts
+        for pattern, _ in self._greedy(free):
+            column = np.zeros(self.m)
+            for n, k in pattern.items():
+                column[at[n]] = k
+            if size - self.cost @ (self.inverse @ column) > 1e-6 * size:
+                self._enter(column, float(size), column)
         for self.steps in range(steps):
-            price = cost @ inverse
+            price = self.cost @ self.inverse
             column, worth = self.knapsack(np.maximum(price, 0))
             if column is None or size - worth <= 1e-6 * size:
                 negative = int(np.argmin(price))  # a slack may come back
@@ -101,22 +112,27 @@ class Patterns:
                 column, gain, entering = np.eye(self.m)[negative], 0.0, None
             else:
                 gain, entering = float(size), column
-            d = inverse @ column
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ratio = np.where(d > 1e-9, x / d, np.inf)
-            row = int(np.argmin(ratio))
-            if not np.isfinite(ratio[row]):
+            if not self._enter(column, gain, entering):
                 break
-            inverse[row] /= d[row]
-            x_new = ratio[row]
-            others = np.flatnonzero(np.abs(d) > 1e-12)
-            others = others[others != row]
-            inverse[others] -= np.outer(d[others], inverse[row])
-            x -= d * x_new
-            x[row] = x_new
-            x = np.maximum(x, 0)
-            cost[row], self.columns[row] = gain, entering
-        self.x = x
+
+    def _enter(self, column: np.ndarray, gain: float, entering: np.ndarray | None) -> bool:
+        """One pivot; False if nothing bounds the column."""
+        d = self.inverse @ column
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(d > 1e-9, self.x / d, np.inf)
+        row = int(np.argmin(ratio))
+        if not np.isfinite(ratio[row]):
+            return False
+        self.inverse[row] /= d[row]
+        x_new = ratio[row]
+        others = np.flatnonzero(np.abs(d) > 1e-12)
+        others = others[others != row]
+        self.inverse[others] -= np.outer(d[others], self.inverse[row])
+        self.x -= d * x_new
+        self.x[row] = x_new
+        self.x = np.maximum(self.x, 0)
+        self.cost[row], self.columns[row] = gain, entering
+        return True
 
     def knapsack(self, price: np.ndarray) -> tuple[np.ndarray | None, float]:
         """The cheapest multiset of lengths that fills a sequence exactly."""
@@ -151,6 +167,11 @@ class Patterns:
                     out.append(({self.lengths[i]: int(column[i]) for i in used}, times))
         free = np.zeros(self.size + 1, dtype=np.int64)
         free[self.lengths] = left
+        return out + self._greedy(free)
+
+    def _greedy(self, free: np.ndarray) -> list[tuple[dict[int, int], int]]:
+        """Pairs and triples of the free lengths that fill a sequence."""
+        out = []
         for a in range(self.size - 1, 0, -1):
             while free[a]:
                 free[a] -= 1
@@ -158,10 +179,11 @@ class Patterns:
                 if found is None:
                     free[a] += 1
                     break
-                times = 1
                 pattern = {n: [a, *found].count(n) for n in (a, *found)}
-                for n in found:
-                    free[n] -= 1
+                # Repeats at once, as often as the rarest of its lengths allows.
+                times = 1 + min(int(free[n] - (k if n != a else k - 1)) // k for n, k in pattern.items())
+                for n, k in pattern.items():
+                    free[n] -= k * times - (n == a)
                 out.append((pattern, times))
         return out
 

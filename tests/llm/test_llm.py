@@ -248,6 +248,23 @@ def test_column_generation():
     assert all(used[n] <= have for n, have in zip(p.lengths, p.have, strict=True))
 
 
+def test_packing_program_beats_its_start():
+    """Against what pairs and triples alone cover, and within the counts."""
+    r = random.Random(46)
+    for _ in range(5):
+        have = {r.randrange(1, 1024): r.randrange(1, 50) for _ in range(60)}
+        lengths = sorted(have)
+        start, done = (packing.Patterns(lengths, [have[n] for n in lengths], steps=k) for k in (0, 200))
+        covered = [sum(x for x, c in zip(p.x, p.columns, strict=True) if c is not None) for p in (start, done)]
+        assert covered[0] <= covered[1] + 1e-6 and covered[1] * 1024 <= sum(n * k for n, k in have.items()) + 1e-6
+        used = {}
+        for pattern, times in done.rounded():
+            assert sum(n * k for n, k in pattern.items()) == 1024
+            for n, k in pattern.items():
+                used[n] = used.get(n, 0) + k * times
+        assert all(k <= have[n] for n, k in used.items())
+
+
 def test_tokenizer_twin():
     import public_tokenizers as P
     from tokenizers import Tokenizer
