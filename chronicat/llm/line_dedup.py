@@ -167,4 +167,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(C.read_table(spark, sf_dir, "documents"))
 
 
-SQL: dict[str, str] = {}
+#: A line goes if a pair of neighbouring lines that occurred before holds it.
+SQL = {
+    "op5_line_dedup": r"""
+with lines as (
+  select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents)),
+pairs as (
+  select doc_id, pos, line, lead(line) over (partition by doc_id order by pos) as next from lines),
+late as (
+  select doc_id, pos, line, next is not null and row_number() over (partition by line, next order by doc_id, pos) > 1 as late from pairs),
+marked as (
+  select doc_id, pos, line, late or coalesce(lag(late) over (partition by doc_id order by pos), false) as gone from late)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from marked group by doc_id
+""",
+}

@@ -320,4 +320,22 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(C.read_table(spark, sf_dir, "documents"))
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_substring_dedup": r"""
+with words as (
+  select doc_id, unnest(words) as word, unnest(range(len(words))) as pos
+  from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents)),
+windows as (
+  select doc_id, pos, word, string_agg(word, ' ') over w as passage, count(*) over w as n
+  from words window w as (partition by doc_id order by pos rows between current row and 19 following)),
+late as (
+  select doc_id, pos, word, n = 20 and row_number() over (partition by n, passage order by doc_id, pos) > 1 as late from windows),
+marked as (
+  select doc_id, pos, word, bool_or(late) over (partition by doc_id order by pos rows between 19 preceding and current row) as gone from late),
+per as (
+  select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by pos) filter (not gone) as kept
+  from marked group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join per on d.doc_id = per.doc_id
+""",
+}
