@@ -15,6 +15,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -48,16 +49,17 @@ def grams(words: list[str], n: int = GRAM) -> list[tuple[str, ...]]:
     return list(zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else [tuple(words)] * bool(words)
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks that fit a broadcast, read one by one."""
-    out, size = [[]], 0
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks that fit a broadcast, read one by one; the driver
+    holds one block at a time. Without items one empty block."""
+    block, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
-        if out[-1] and (size + len(r[1]) > BLOCK_BYTES or len(out[-1]) >= BLOCK_ROWS):
-            out.append([])
-            size = 0
-        out[-1].append((r[0], r[1]))
+        if block and (size + len(r[1]) > BLOCK_BYTES or len(block) >= BLOCK_ROWS):
+            yield block
+            block, size = [], 0
+        block.append((r[0], r[1]))
         size += len(r[1])
-    return out
+    yield block
 
 
 class Seeds:
