@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -224,9 +223,9 @@ class KeySet:
 
         bits, log = self.bits, self.log
 
-        @F.pandas_udf("boolean")
-        def hit(k: pd.Series) -> pd.Series:
-            return pd.Series(KeySet.has(bits.value, log, k.to_numpy(dtype=np.int64)))
+        @F.arrow_udf("boolean")
+        def hit(k: pa.Array) -> pa.Array:
+            return pa.array(KeySet.has(bits.value, log, np.asarray(k)))
 
         return hit(key)
 

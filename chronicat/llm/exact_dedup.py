@@ -20,7 +20,6 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -250,12 +249,12 @@ def broadcast_filters(groups: DataFrame, n: int):
 def maybe_live(filters, digest):
     """Condition on a digest column: False only for digests not in the index."""
 
-    @F.pandas_udf("boolean")
-    def hit(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def hit(column: pa.Array) -> pa.Array:
         buckets, tables = filters.value
         ready = {k: CuckooFilter.loaded(v) for k, v in tables.items()}
         none = CuckooFilter(1)
-        return pd.Series([DigestIndex.short(d) in ready.get(bucket_of(d, buckets), none) for d in map(bytes, column)], dtype=bool)
+        return pa.array([DigestIndex.short(d) in ready.get(bucket_of(d, buckets), none) for d in column.to_pylist()], pa.bool_())
 
     return hit(digest)
 
