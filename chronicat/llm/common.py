@@ -24,6 +24,8 @@ SLICE_BYTES = 3 << 20
 #: A key is hot when it holds more than this share of the rows, so that there
 #: are at most 2 * HOT_KEYS hot keys however large the input is.
 HOT_KEYS = 1000
+#: Rows of a narrow table that one task writes, where that leaves enough tasks.
+TASK_ROWS = 1_000_000
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -62,10 +64,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back. Cuts the
-    lineage, and survives the loss of any executor."""
+    lineage, and survives the loss of any executor. ``rows``: about how many
+    rows a narrow table has at most; it is then written by a task for each
+    TASK_ROWS of them, but at least two a core, instead of a small file for
+    each shuffle partition."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // TASK_ROWS + 1))
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -250,12 +257,13 @@ def matching(docs: DataFrame, keys: DataFrame, n: int, key: str) -> DataFrame:
     return tried.join(keys.hint("shuffle_merge"), key)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """Connected components of an undirected graph given as pairs of longs, by
     alternating large-star and small-star steps. Returns (node, root) for every
-    node that has an edge and isn't the smallest of its component."""
+    node that has an edge and isn't the smallest of its component. ``rows``:
+    about how many edges there are at most, if known."""
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    e, before = stash(e, "edges"), None
+    e, before = stash(e, "edges", rows), None
     while True:
         n, sign = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if n == 0 or (n, sign) == before:
@@ -265,10 +273,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         least = least.withColumn("m", F.least("u", "m"))
         large = attach(both, least, "u", "n", 2 * n, "inner").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = stash(large, "edges")  # read several times below
+        large = stash(large, "edges", n)  # read several times below
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = attach(large, least, "a", "n", n, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        old, e = e, stash(small, "edges")
+        old, e = e, stash(small, "edges", 2 * n)
         discard(old, large)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 

@@ -225,7 +225,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
     goes by its doc_id and text, as ids may be null or shared."""
     key = C.row_key()
     named = docs.select(key.alias("doc_id"), "text")
-    gone = C.stash(contaminated(named, benchmark, threshold).select(F.col("doc_id").alias("k")).distinct(), "leaks")
+    gone = C.stash(contaminated(named, benchmark, threshold).select(F.col("doc_id").alias("k")).distinct(), "leaks", docs.count())
     rows = C.without(docs.withColumn("__key", key), gone, gone.count(), "__key")
     return rows.select(*docs.columns)
 

@@ -272,7 +272,7 @@ def exact_dedup(docs: DataFrame, retracted: DataFrame | None = None, hashed=sha2
         keyed = keyed.join(back, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     keyed = C.stash(keyed, "digests")
     total = keyed.count()
-    groups = C.stash(build_index(keyed, total).where("n > 1 or gone > 0"), "index")  # a digest seen once needs no check
+    groups = C.stash(build_index(keyed, total).where("n > 1 or gone > 0"), "index", total)  # a digest seen once needs no check
     hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("content")).withColumn("digest", hashed(F.col("content")))
     n = groups.count()
     filters = broadcast_filters(groups, n)
@@ -282,7 +282,7 @@ def exact_dedup(docs: DataFrame, retracted: DataFrame | None = None, hashed=sha2
         some = hits.where(maybe_live(filters, F.col("digest")))
     # Of equal contents one goes on from each task; grouping compares them whole.
     unlike = some.groupBy("digest", "content").agg(F.lit(1).alias("one")).groupBy("digest").count().where("count > 1").select("digest")
-    unlike = C.stash(unlike, "unlike")
+    unlike = C.stash(unlike, "unlike", n)
     entry = groups.select("digest", F.col("doc_id").alias("first"), "n", F.lit(True).alias("known"), (F.col("n") + F.col("gone")).alias("rows"))
     if unlike.isEmpty():
         out = C.attach(keyed, entry, "digest", "rows", total)
@@ -308,7 +308,7 @@ def keep_first(docs: DataFrame, retracted: DataFrame | None = None) -> DataFrame
     """docs without the rows that copy one with a smaller doc_id, and without
     retracted ones; its columns. Rows with the same doc_id and text are one
     document: one of them stays."""
-    gone = C.stash(exact_dedup(docs, retracted).where("not kept or group_size > 1").select("doc_id", "text_sha256", "kept"), "copies")
+    gone = C.stash(exact_dedup(docs, retracted).where("not kept or group_size > 1").select("doc_id", "text_sha256", "kept"), "copies", docs.count())
     key = F.xxhash64("doc_id", "__sha")
     rows = docs.withColumn("__sha", F.sha2(normalised(), 256)).withColumn("__key", key)
     drop = gone.where("not kept").select(F.xxhash64("doc_id", "text_sha256").alias("k"))

@@ -251,7 +251,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: int = SIZE
     tokens = C.stash(tokens.mapInArrow(partial(_tokenise, tokenizer=tokenizer, size=size), "doc_id long, n long, blocks array<long>, rest int, rest_crc long, parts array<long>"), "tokens")
     buckets = tokens.count() // RANKED + 1
     items = tokens.where("rest > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "n", "rest_crc"), F.lit(buckets)))
-    per = C.stash(items.groupBy("rest", "bucket").count(), "histogram")
+    per = C.stash(items.groupBy("rest", "bucket").count(), "histogram", buckets * size)
     histogram = {r["rest"]: r["n"] for r in per.groupBy("rest").agg(F.sum("count").alias("n")).collect()}  # below size rows
     table = spark.createDataFrame(rules(histogram, size) or [(0,) * 10], RULES)
     before = F.sum("count").over(_window("rest").orderBy("bucket")) - F.col("count")

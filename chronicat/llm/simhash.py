@@ -194,10 +194,12 @@ def simhash_groups(docs: DataFrame, words: int = 4, k: int = 4, carried: tuple[s
     number of rows with that fingerprint; then the longs carried along."""
     prints = C.stash(fingerprints(docs, words, carried), "prints")
     total = prints.count()
-    reps = C.stash(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "reps")
-    near = C.stash(links(reps.select("fp"), reps.count(), k), "links").distinct()
+    reps = C.stash(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "reps", total)
+    n = reps.count()
+    most = n * comb(k + agreeing(n, k), k)
+    near = C.stash(links(reps.select("fp"), n, k), "links", most).distinct()
     ends = near.join(reps.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x").join(reps.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
-    root = C.components(ends)
+    root = C.components(ends, rows=most)
     full = reps.join(root, reps.rep == root.node, "left").select("fp", "size", F.coalesce("root", "rep").alias("component_id"))
     return C.attach(prints, full, "fp", "size", total, "inner").select("doc_id", "fp", "component_id", "size", *carried)
 
@@ -209,11 +211,12 @@ def keep_one(docs: DataFrame, words: int = 4, k: int = 4) -> DataFrame:
     key = C.row_key()
     # Components of keys, as doc_ids may be null or stand for several texts.
     named = docs.select(key.alias("doc_id"), "text", F.col("doc_id").cast("long").alias("id"))
-    near = C.stash(simhash_groups(named, words, k, ("id",)).select(F.col("doc_id").alias("key"), "component_id", "id"), "near")
+    near = C.stash(simhash_groups(named, words, k, ("id",)).select(F.col("doc_id").alias("key"), "component_id", "id"), "near", docs.count())
+    total = near.count()
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    first = C.stash(near.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
-    drop = C.attach(near, first, "component_id", "n", near.count(), "inner").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("k"))
-    drop = C.stash(drop, "drop")
+    first = C.stash(near.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"), "first", total)
+    drop = C.attach(near, first, "component_id", "n", total, "inner").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("k"))
+    drop = C.stash(drop, "drop", total)
     rows = C.without(docs.withColumn("__key", key), drop, drop.count(), "__key")
     if not near.groupBy("key").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["__key"])
