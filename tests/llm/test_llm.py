@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -99,6 +100,18 @@ def test_key_set(spark):
     assert sorted(r.id for r in C.without(probe, keys, 5000, "k").collect()) == list(range(5000, 10000))
 
 
+def test_stash_writes_narrow_tables_in_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "TASK_ROWS", 100)
+    rows = spark.range(3000).repartition(40)
+    files = lambda t: len(list(Path(t._stashed.removeprefix("file:")).glob("*.parquet")))
+    least = 2 * spark.sparkContext.defaultParallelism
+    for bound, expected in ((None, 40), (0, least), (1500, 16), (10**9, 40)):
+        table = C.stash(rows, "narrow", bound)
+        assert files(table) == max(expected, least)
+        assert sorted(r[0] for r in table.collect()) == list(range(3000))
+        C.discard(table)
+
+
 def test_components(spark):
     r, edges = random.Random(1), []
     for _ in range(150):
