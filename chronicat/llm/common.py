@@ -25,7 +25,7 @@ SLICE_BYTES = 3 << 20
 #: are at most 2 * HOT_KEYS hot keys however large the input is.
 HOT_KEYS = 1000
 #: Rows of a narrow table that one task writes, where that leaves enough tasks.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 200_000
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
