@@ -3,7 +3,7 @@ over them (per-coordinate rates, L1 sparsity)."""
 
 from __future__ import annotations
 
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +17,13 @@ from . import common as C
 BITS = 24
 #: Features of fewer documents of the sample are not learned.
 LEAST = 3
+#: Bytes of text whose features are made at a time, as they take some 20 times
+#: that.
+SLICE = 1 << 20
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_-"
 WEIGHTS = "feature int, weight float"
 
 
-@lru_cache(maxsize=200_000)
 def _word(word: str) -> str:
     return word.lower().strip(PUNCTUATION) or word
 
@@ -71,24 +73,30 @@ class Ftrl:
 def _train(batches, epochs: int, options: dict):
     """Weights of the features that LEAST documents hold, and of the bias,
     which goes by feature 2**BITS. Only those features get a coordinate."""
-    parts, cuts, targets = [], [0], []
+    parts, targets = [], []
+    times = np.zeros(1 << BITS, np.uint8)  # documents of a feature, up to LEAST
     for b in batches:
-        for s in C.slices(b):
+        for s in C.slices(b, limit=SLICE):
             doc, found = features(s.column("text"))
             both = np.unique(doc << BITS | found)
-            parts.append((both & ((1 << BITS) - 1)).astype(np.int32))
-            cuts += (cuts[-1] + np.searchsorted(both, np.arange(1, len(s) + 1) << BITS)).tolist()
+            own = (both & ((1 << BITS) - 1)).astype(np.int32)
+            parts.append((own, np.searchsorted(both, np.arange(1, len(s) + 1) << BITS)))
+            some, n = np.unique(own, return_counts=True)
+            times[some] = np.minimum(times[some] + n, LEAST)
             targets += np.asarray(s.column("target")).tolist()
-    found = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    del parts
-    ids, times = np.unique(found, return_counts=True)
-    ids = ids[times >= LEAST]
-    places = np.searchsorted(ids, found).astype(np.int32)
-    learned = ids[np.minimum(places, len(ids) - 1)] == found if len(ids) else np.zeros(len(found), bool)
-    places, cuts = places[learned], np.concatenate(([0], np.cumsum(learned)))[cuts]
-    del found, learned
-    model = Ftrl(len(ids), **options)
-    seen = [(np.append(places[lo:hi], np.int32(len(ids))), t) for lo, hi, t in zip(cuts[:-1], cuts[1:], targets, strict=True)]
+            del doc, found, both, own, some, n
+    ids = np.flatnonzero(times >= LEAST).astype(np.int32)
+    del times
+    model, seen = Ftrl(len(ids), **options), []
+    for i, (own, ends) in enumerate(parts):
+        parts[i] = None  # one part after the other gives way to its learned features
+        places = np.searchsorted(ids, own)
+        learned = ids[np.minimum(places, len(ids) - 1)] == own if len(ids) else np.zeros(len(own), bool)
+        ends = np.concatenate(([0], np.cumsum(learned)))[ends]
+        places = np.insert(places[learned].astype(np.int32), ends, np.int32(len(ids)))  # each document's last is the bias
+        seen += np.split(places, (ends + np.arange(1, len(ends) + 1))[:-1])
+        del own, learned, places
+    seen = list(zip(seen, targets, strict=True))
     for _ in range(epochs):
         for at, target in seen:
             model.learn(at, target)
@@ -141,7 +149,7 @@ def _scorer(model) -> Scorer:
 
 def _score(batches, model):
     for b in batches:
-        scores = [_scorer(model)(s.column("text")) for s in C.slices(b)]
+        scores = [_scorer(model)(s.column("text")) for s in C.slices(b, limit=SLICE)]
         score = np.concatenate(scores) if scores else np.zeros(0)
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "score"])
 
@@ -161,7 +169,7 @@ def score_of(text: Column, weights: tuple[np.ndarray, np.ndarray], spark: SparkS
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-        scores = [_scorer(model)(s.column("text")) for s in C.slices(batch)]
+        scores = [_scorer(model)(s.column("text")) for s in C.slices(batch, limit=SLICE)]
         return pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
 
     return scored(text)

@@ -659,6 +659,26 @@ def test_ftrl_equals_a_plain_one():
     assert alone[1] == pytest.approx(1 / (1 + math.exp(-want[bias])), abs=1e-3)
 
 
+def test_training_holds_little_beside_its_features(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 60_000, 4000).tolist()) for _ in range(160)]  # 4.4 MB
+    batch = pa.RecordBatch.from_pydict({"text": texts, "target": [float(k % 2) for k in range(160)]})
+    tracemalloc.start()
+    next(linear._train([batch], 1, {}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 1.9 million features of 4 bytes, a table of 16 MB, one slice at work
+    texts = ["", *(words(12, random.Random(k)) + (" vile" if k % 3 == 0 else "") for k in range(60)), None]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "target": [float(k % 3 == 1) for k in range(62)]})
+    whole = next(linear._train([batch], 3, {"l1": 0.05}))
+    monkeypatch.setattr(linear, "SLICE", 100)
+    assert next(linear._train([batch.slice(0, 20), batch.slice(20, 0), batch.slice(20)], 3, {"l1": 0.05})).equals(whole) and len(whole) > 100
+
+
 def test_em_equals_a_plain_one():
     import math
 
