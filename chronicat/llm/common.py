@@ -64,15 +64,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stash(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def in_few(df: DataFrame, rows: int, least: int | None = None) -> DataFrame:
+    """A narrow table of about ``rows`` rows at most, in a task for each
+    TASK_ROWS of them instead of one for each shuffle partition; ``least``
+    tasks at least, or two a core."""
+    return df.coalesce(max(least or 2 * df.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS + 1))
+
+
+def stash(df: DataFrame, name: str, rows: int | None = None, least: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back. Cuts the
-    lineage, and survives the loss of any executor. ``rows``: about how many
-    rows a narrow table has at most; it is then written by a task for each
-    TASK_ROWS of them, but at least two a core, instead of a small file for
-    each shuffle partition."""
+    lineage, and survives the loss of any executor. ``rows`` and ``least``: a
+    narrow table is written ``in_few`` tasks, a file each."""
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // TASK_ROWS + 1))
+        df = in_few(df, rows, least)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -273,10 +278,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None =
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         least = least.withColumn("m", F.least("u", "m"))
         large = attach(both, least, "u", "n", 2 * n, "inner").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = stash(large, "edges", n)  # read several times below
+        large = stash(large, "edges", n, 1)  # read several times below
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = attach(large, least, "a", "n", n, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        old, e = e, stash(small, "edges", 2 * n)
+        old, e = e, stash(small, "edges", 2 * n, 1)
         discard(old, large)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 

@@ -171,7 +171,7 @@ def links(fps: DataFrame, n: int, k: int = 4, extra: int | None = None) -> DataF
     spark = fps.sparkSession
     extra = extra or agreeing(n, k)
     grid = cells(fps, k, extra)
-    crowded = C.stash(grid.groupBy("grid", "cell").count().where(F.col("count") > CHUNK), "cells")
+    crowded = C.stash(grid.groupBy("grid", "cell").count().where(F.col("count") > CHUNK), "cells", n * comb(k + extra, k))
     n = crowded.count()
     parts = F.col("parts")
     if n:
@@ -192,16 +192,19 @@ def links(fps: DataFrame, n: int, k: int = 4, extra: int | None = None) -> DataF
 def simhash_groups(docs: DataFrame, words: int = 4, k: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
     """Every row of docs: doc_id, fp (signed), component_id, and size, the
     number of rows with that fingerprint; then the longs carried along."""
-    prints = C.stash(fingerprints(docs, words, carried), "prints")
-    total = prints.count()
+    total = docs.count()
+    # Dealt out anew, as each file costs a process where Hadoop's native library
+    # is missing, and texts are read in many tasks.
+    prints = C.stash(fingerprints(docs, words, carried).hint("rebalance"), "prints", total)
     reps = C.stash(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "reps", total)
     n = reps.count()
     most = n * comb(k + agreeing(n, k), k)
-    near = C.stash(links(reps.select("fp"), n, k), "links", most).distinct()
+    near = links(reps.select("fp"), n, k).distinct()
     ends = near.join(reps.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x").join(reps.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
     root = C.components(ends, rows=most)
     full = reps.join(root, reps.rep == root.node, "left").select("fp", "size", F.coalesce("root", "rep").alias("component_id"))
-    return C.attach(prints, full, "fp", "size", total, "inner").select("doc_id", "fp", "component_id", "size", *carried)
+    out = C.attach(prints, full, "fp", "size", total, "inner").select("doc_id", "fp", "component_id", "size", *carried)
+    return C.in_few(out, total)
 
 
 def keep_one(docs: DataFrame, words: int = 4, k: int = 4) -> DataFrame:

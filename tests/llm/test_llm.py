@@ -160,6 +160,32 @@ def test_simhash(spark, docs, monkeypatch):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in near(TEXTS, 4)})
 
 
+def test_simhash_writes_few_files(spark, monkeypatch):
+    """However many tasks read the texts, as each file costs a process."""
+    r, made, stash = random.Random(23), [], C.stash
+    texts = [(i, words(40, r)) for i in range(200)]
+    texts += [(1000 + i, t + " x" * (i % 3)) for i, t in texts[:60]]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(40)
+
+    def seen(df, *args):
+        out = stash(df, *args)
+        made.append(len(list(Path(out._stashed.removeprefix("file:")).glob("*.parquet"))))
+        return out
+
+    monkeypatch.setattr(C, "stash", seen)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        out = simhash.simhash_groups(d)
+        got = rows(out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("f"), "component_id"), "doc_id", "f", "component_id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    least = 2 * spark.sparkContext.defaultParallelism
+    assert got == near(texts, 4) and len({c for _, _, c in got}) < len(texts)
+    assert max(made) <= least and made[-1] == 1 and out.rdd.getNumPartitions() <= least
+
+
 def test_fingerprint_is_xxh64_majority():
     import xxhash
 
