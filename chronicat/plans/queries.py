@@ -465,9 +465,8 @@ def content_overlay(spark, sf):
 @query
 def validate_altered(spark, sf):
     """Contents that aren't what their target says: one in thirteen is cut."""
-    e = _table(spark, sf, "events").select("event_id", "props")
-    c = _entries(spark, sf).join(e, F.col("pos") == F.col("event_id")).where("target <> ''")
-    held = c.select("archive", F.col("target").alias("member"), F.encode(F.when(F.col("pos") % 13 == 0, F.substring("props", 2, 1 << 20)).otherwise(F.col("props")), "UTF-8").alias("content"))
+    c = asof.alive(cat(spark, sf, "props"))
+    held = c.select(F.col("manifest").alias("archive"), F.col("target").alias("member"), F.encode(F.when(F.col("pos") % 13 == 0, F.substring("props", 2, 1 << 20)).otherwise(F.col("props")), "UTF-8").alias("content"))
     return validation.altered(_entries(spark, sf), held).select("archive", "pos", "name").distinct()
 
 

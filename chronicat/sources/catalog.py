@@ -111,8 +111,8 @@ def stored_metadata(members: DataFrame) -> DataFrame:
     return inside.select("archive", "m.*")
 
 
-def events_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table read as a change log of files."""
+def events_catalog(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The events table read as a change log of files, with more of its columns."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     sha = hashing.content_sha(F.col("props"))
     return e.select(
@@ -122,6 +122,7 @@ def events_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(hashing.target(sha)).alias("target"),
         F.length("props").cast("bigint").alias("size"),
         F.col("ts"),
+        *more,
     )
 
 

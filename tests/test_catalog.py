@@ -399,3 +399,14 @@ def test_registry_errors(spark):
     assert stats.name_of(r, 5) == "a" and stats.registry_size(r).first().size == 1
     with pytest.raises(errors.IdNotFound):
         stats.name_of(r, 6)
+
+
+def test_altered_gives_each_entry_once_whatever_its_copies(spark):
+    whole = F.lit(b"whole")
+    target = hashing.target(F.sha2(whole, 256))
+    rows = spark.range(300).select(F.lit("z").alias("archive"), F.col("id").alias("pos"), F.lit("a").alias("name"), F.when(F.col("id") == 7, "").otherwise(target).alias("target"))
+    e = rows.unionByName(rows.where("pos < 5").withColumn("archive", F.lit("y")))
+    held = spark.range(200).select(F.lit("z").alias("archive"), target.alias("member"), F.when(F.col("id") % 2 == 0, F.encode(F.col("id").cast("string"), "UTF-8")).otherwise(whole).alias("content"))
+    held = held.unionByName(spark.range(3).select(F.lit("y").alias("archive"), target.alias("member"), whole.alias("content")))
+    assert names(validation.altered(e, held), "archive", "pos") == [("z", i) for i in range(300) if i != 7]
+    assert validation.altered(e, held.where("archive = 'y'")).count() == 0

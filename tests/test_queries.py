@@ -38,5 +38,14 @@ def test_query(spark, db, name):
     assert ours == theirs
 
 
+def test_altered_contents_where_ids_repeat(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute(f"copy (select * replace (event_id % 50 as event_id) from '{SF}/events.parquet') to '{tmp_path}/events.parquet'")
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    theirs = c.sql("select archive, pos, name from (" + entry.oracle_sql()["validate_altered"] + ")").fetchall()
+    ours = entry.queries()["validate_altered"](spark, str(tmp_path)).select("archive", "pos", "name").collect()
+    assert theirs and sorted(map(tuple, ours)) == sorted(theirs)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns and entry.entry(spark).count() > 0
